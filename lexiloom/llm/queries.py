@@ -44,5 +44,29 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return _overlap(spark, d).report()
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    from lexiloom.llm.bpe import encode
+
+    return encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _packed(spark: SparkSession, d: str):
+    from lexiloom.llm.packing import pack, token_sizes
+
+    specs = [tuple(r) for r in table(spark, d, "pack_specs").select("spec_id", "tokenizer", "capacity").collect()]  # the operator's parameters
+    sizes = token_sizes(table(spark, d, "documents"), "doc_id", "text", sorted({s[1] for s in specs}))
+    return pack(sizes, specs), specs
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)[0].withColumnRenamed("key", "doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    from lexiloom.llm.packing import report
+
+    return report(*_packed(spark, d))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
