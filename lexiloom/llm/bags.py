@@ -320,6 +320,32 @@ def _meet(rows: DataFrame, parts: int, t: float, roles: bool) -> DataFrame:
     return rows.repartition(parts, "region").mapInArrow(run, "a long, b long").distinct()
 
 
+def _wanted(bags_: DataFrame) -> np.ndarray:
+    """A bitmap of 2**22 cells with a mark for every bag of ``bags_``: a filter of fixed size that lets all of them through."""
+    slices, cells = 16, 2**22
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(cells, bool)
+        for b in batches:
+            on[_cell(b.column(0).to_numpy())] = True
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([np.packbits(x).tobytes() for x in on.reshape(slices, -1)], pa.binary())], names=["part", "cells"])
+
+    def join(key: tuple, pdf):
+        on = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["cells"]])
+        pdf = pdf.head(1).copy()
+        pdf["cells"] = [on.tobytes()]
+        return pdf
+
+    on = np.zeros((slices, cells // slices), np.uint8)
+    for r in bags_.mapInArrow(mark, "part int, cells binary").groupBy("part").applyInPandas(join, "part int, cells binary").collect():
+        on[r["part"]] = np.unpackbits(np.frombuffer(bytes(r["cells"]), np.uint8))
+    return on.ravel()
+
+
+def _cell(bag: np.ndarray) -> np.ndarray:
+    return (mix(bag.view(np.uint64)) >> np.uint64(42)).astype(np.int64)
+
+
 def alike_bags(table: DataFrame, least: int, t: float, roles: bool = False) -> DataFrame:
     """(a, b, shared, n_a, n_b): all pairs of different bags, a < b, that are at least ``t`` alike.
 
@@ -333,14 +359,19 @@ def alike_bags(table: DataFrame, least: int, t: float, roles: bool = False) -> D
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000)
     pairs = materialise(_meet(_emit(table, shared, least, t, roles), parts, t, roles), "pairs")
 
+    wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("bag"))
+    marks = spark.sparkContext.broadcast(np.packbits(_wanted(wanted.select("bag"))))
+
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        on = np.unpackbits(marks.value)
         for b in batches:
-            fresh = [i for i, k in enumerate(b.column(0).to_pylist()) if not (k in seen or seen.add(k))]
+            bag = b.column(0).to_numpy()
+            at = np.flatnonzero(on[_cell(bag)])
+            fresh = [i for i, k in zip(at.tolist(), bag[at].tolist(), strict=True) if not (k in seen or seen.add(k))]
             if fresh:
                 yield b.take(pa.array(fresh))
 
-    wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("bag"))
     words = table.select("bag", "words").mapInArrow(once, "bag long, words array<int>")
     both = (
         words.join(wanted, "bag")

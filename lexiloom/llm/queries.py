@@ -10,6 +10,52 @@ from pyspark.sql import DataFrame, SparkSession
 from lexiloom.llm.tables import table
 
 
+def _sample(spark: SparkSession, d: str):
+    from lexiloom.llm.cube import CategorySample, first_topic
+    from lexiloom.llm.tables import plain
+
+    targets = table(spark, d, "topic_targets").collect()  # the operator's parameters
+    articles = table(spark, d, "reuters21578").select("new_id", first_topic("topics").alias("topic"), plain("split").alias("split"))
+    return CategorySample(articles, "new_id", "topic", {r["topic"].strip().lower(): (r["target_share"], r["min_rows"]) for r in targets}, targets[0]["sample_share"] if targets else 0.0, ("split",))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).unmet().withColumnRenamed("category", "topic")
+
+
+def p1_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).sample().toDF("new_id", "topic")
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return _sample(spark, d).report()
+
+
+def _mix(spark: SparkSession, d: str):
+    from pyspark.sql import functions as F
+
+    from lexiloom.llm.mixing import Mix
+    from lexiloom.llm.tables import plain
+
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+    a = table(spark, d, "summaries").select(F.lit("summaries").alias("tab"), F.col("sum_id").alias("id"), plain("source").alias("source"), (size("document") + size("summary")).alias("size"))
+    b = table(spark, d, "wikitext").select(F.lit("wikitext").alias("tab"), F.col("line_id").alias("id"), plain("source").alias("source"), size("text").alias("size"))
+    weights = [(r["mix_name"], r["tab"], r["budget_share"], r["source"].strip().lower(), r["weight"], r["max_repeats"]) for r in table(spark, d, "mix_targets").collect()]  # the operator's parameters
+    return Mix(a.unionAll(b), weights)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report().where("short").select("mix_name", "source")
+
+
+def p3_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).draw()
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mix(spark, d).report()
+
+
 def _near(spark: SparkSession, d: str):
     from lexiloom.llm.neardup import NearDuplicates
 
