@@ -70,6 +70,13 @@ def p2_classes(spark: SparkSession, d: str) -> DataFrame:
     return _near(spark, d).classes()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from lexiloom.llm.pairs import PairDefects
+
+    found = PairDefects(table(spark, d, "finance_alpaca"), table(spark, d, "documents"), "pair_id", "instruction", "input", "output").defects()
+    return found.withColumnRenamed("id", "pair_id")
+
+
 def _overlap(spark: SparkSession, d: str):
     from lexiloom.llm.overlap import SplitOverlap
 
