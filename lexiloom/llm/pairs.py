@@ -38,7 +38,7 @@ _LONE_ITEM = re.compile(r"\s*(?:\d{1,3}[.)]?|[-*•])\s*$")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”']?\s+|\n+")
 #: The speaker, what keeps them, and what they will not do.
 _REFUSES = re.compile(
-    r"\b(?:i|we)(?:'m| am| are|'re)? (?:only a program|just a program|an ai|a language model)|\bas an? (?:ai|language model|assistant)\b"
+    r"\b(?:i|we)(?:'m| am| are|'re)? (?:only a program|just a program|an ai|a language model)|\bas an? (?:\w+ ){0,2}(?:ai|model|assistant|program|bot)\b"
     r"|\b(?:i|we)(?:'m| am|'re| are)? (?:sorry|afraid|unable|not able|not allowed|not permitted|not in a position|can ?not|can't|could not|couldn't|won't|will not|do not|don't|must decline|must refuse|decline|refuse|would rather not|prefer not)\b[^.!?]*"
     r"\b(?:answer|assist|help|discuss|reply|respond|comment|say|provide|share|opinions?|questions?|request|advice|talk|engage|continue|comply|fulfil|fulfill|do (?:that|this))"
     r"|\b(?:something|topic|question|request|matter)s? (?:that )?i (?:must|have to|will|need to) (?:decline|refuse)|\bunable to (?:answer|assist|help|comment|discuss|provide|respond|fulfil)"
@@ -47,7 +47,7 @@ _REFUSES = re.compile(
     r"|\bi must (?:decline|refuse)|\bi(?:'d| would) rather not\b|\bi do not answer\b|\bcannot say anything\b"
 )
 #: Sentences that carry nothing.
-_COURTESY = re.compile(r"^(?:(?:hello|hi|dear|hey)\b.{0,40}|(?:many )?thank(?:s| you).{0,90}|good question.?|great question.?|sorry.?|(?:i )?apologi[sz]e.{0,40}|my apologies.?|.{0,20}anything else.{0,40}|please (?:ask|try|consult|contact|rephrase).{0,80}|hope that helps.{0,5}|regards.{0,30}|good luck.{0,3}|have a (?:nice|good).{0,20}|\W*)$")
+_COURTESY = re.compile(r"^(?:(?:hello|hi|dear|hey)\b.{0,40}|(?:many )?thank(?:s| you).{0,90}|good question.?|you(?:'re| are) asking about.{0,90}|great question.?|sorry.?|(?:i )?apologi[sz]e.{0,40}|my apologies.?|.{0,20}anything else.{0,40}|please (?:ask|try|consult|contact|rephrase).{0,80}|hope that helps.{0,5}|regards.{0,30}|good luck.{0,3}|have a (?:nice|good).{0,20}|\W*)$")
 _ADDRESS = re.compile(r"^(?:hello|hi|dear|hey)\b[^,.!?]{0,40},\s*")
 
 

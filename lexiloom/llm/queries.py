@@ -121,5 +121,19 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return report(*_packed(spark, d))
 
 
+def _garbled(spark: SparkSession, d: str):
+    from lexiloom.llm.mojibake import Mojibake
+
+    return Mojibake(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).found().toDF("doc_id")
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return _garbled(spark, d).restored().toDF("doc_id", "text", "whole")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
