@@ -33,6 +33,8 @@ LEAST_VOTES, LEAST_LETTERS = 2, 12
 LEAST_WORDS = 3
 #: A garbled word must be this many times rarer than what it restores to; words of one or two letters more so.
 RARER, RARER_SHORT = 3, 10
+#: One garbled word is a case if it has four letters or is this many times rarer; else it takes two.
+SURE_ALONE = 30
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -86,6 +88,11 @@ def restore_run(run: str, taken: tuple[str, ...]) -> tuple[str, list[tuple[str,
     return run, []
 
 
+def _words(text: str) -> list[str]:
+    """Words with non-ASCII characters; a # follows those that stand right before a digit (currency signs)."""
+    return [m[0] + "#" * text[m.end() : m.end() + 1].isdigit() for m in _WORD.finditer(text) if not m[0].isascii()]
+
+
 class Finder:
     """Finds and restores UTF-8 that was taken for the given encodings; runs are kept once computed."""
 
@@ -221,13 +228,13 @@ class Mojibake:
                 sure, words = [], []
                 for text in b.column(1).to_pylist():
                     sure.append(finder.hits(text))
-                    words.append(sorted({w for w in _WORD.findall(text) if not w.isascii()}))
+                    words.append(sorted(set(_words(text))))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sure), pa.array(words, pa.list_(pa.string()))], names=["id", "sure", "words"])
 
         return self.rows.select("id", "text").mapInArrow(run, "id long, sure boolean, words array<string>")
 
     def _judge(self) -> tuple[DataFrame, DataFrame]:
-        """(id, sure) of all records read; (id, word, good) of the words garbled by a single-byte encoding."""
+        """(id, sure) of all records read; (id, word, good, alone) of the words garbled by a single-byte encoding."""
         read = materialise(self._read(), "read")
         words = read.select("id", F.explode("words").alias("word")).distinct()
         counts = words.groupBy("word").agg(F.count("*").alias("df"))
@@ -253,13 +260,13 @@ class Mojibake:
         plain = materialise(plain, "words")
         told = plain.where((F.length("word") >= 5) & (F.col("dg") >= 3)).groupBy("way").agg(F.countDistinct("word").alias("n")).where(F.col("n") >= LEAST_WORDS).select("way").collect()  # at most a row per pair of encodings
         ways = {f"{a}>{t}" for a, t in self.single} | {r["way"] for r in told}
-        best = plain.where(F.col("way").isin(sorted(ways) or [""])).groupBy("word").agg(F.max_by("good", F.struct("dg", "good")).alias("good"))
-        return read, words.join(best, "word").select("id", "word", "good")
+        best = plain.where(F.col("way").isin(sorted(ways) or [""])).groupBy("word").agg(F.max_by(F.struct("good", (F.col("dg") >= SURE_ALONE * F.greatest("df", F.lit(1))).alias("alone")), F.struct("dg", "good")).alias("x")).select("word", "x.*")
+        return read, words.join(best, "word").select("id", "word", "good", (F.col("alone") | (F.length("word") >= 4)).alias("alone"))
 
     def found(self) -> DataFrame:
         """(id) of the records that hold garbled characters."""
         read, bad = self._judge()
-        by_words = bad.groupBy("id").agg(F.count("*").alias("n"), F.max(F.length("word")).alias("most")).where("n >= 2 or most >= 4").select("id")
+        by_words = bad.groupBy("id").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n >= 2 or alone").select("id")
         return read.where("sure").select("id").unionAll(by_words).distinct()
 
     def restored(self) -> DataFrame:
@@ -276,7 +283,7 @@ class Mojibake:
                 for text, words_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     text = finder.restore(text)
                     swap = dict(words_ or ())
-                    text = _WORD.sub(lambda m, swap=swap: swap.get(m[0], m[0]), text)
+                    text = _WORD.sub(lambda m, swap=swap, t=text: swap.get(m[0] + "#" * t[m.end() : m.end() + 1].isdigit(), m[0]).rstrip("#"), text)
                     texts.append(text)
                     whole.append(not _BROKEN.search(text))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(whole)], names=["id", "text", "whole"])
