@@ -37,6 +37,7 @@ from lexiloom.session import materialise
 
 WORDS = re.compile(r"[^\W_]+")
 SKETCH_BITS = 20
+MARK_BITS = 25
 HOT = 50_000
 RATIO = 1.5
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -151,7 +152,7 @@ def regions(n: np.ndarray, token: np.ndarray, salt: np.ndarray, least: int, t: f
         region = mix(total.reshape(len(docs), m) + np.arange(1, m + 1, dtype=np.uint64)[None, :] * _M2 + np.uint64((c + 1) * int(_M1) % 2**64) + salt[docs][:, None])
         partner = np.minimum(np.floor(size / t + eps).astype(np.int64), high[c] - 1)
         matter = np.minimum((spread * (size + partner) + eps).astype(np.int64) + 1, m)
-        wide = 104 if high[c] <= 120 else 64 * math.ceil(high[c] * 1.1 / 64)
+        wide = 104 if high[c] <= 120 else 64 * math.ceil(high[c] * 0.8 / 64)
         bit = (x & np.uint64(0xFFFFF)).astype(np.int64) * wide >> 20
         odd = np.bincount(where * wide + bit, minlength=len(docs) * wide).reshape(len(docs), wide) & 1
         yield docs, visit[docs], region, matter, odd.astype(np.uint8)
@@ -210,20 +211,55 @@ def _read(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Ite
         yield (b.column("bag").to_numpy(), b.column("tab").to_numpy(), *[b.column(x).to_numpy() for x in extra]), b.column("n").to_numpy().astype(np.int64), words.flatten().to_numpy().view(np.uint32)
 
 
-def _emit(table: DataFrame, cells, least: int, t: float, roles: bool) -> DataFrame:
-    """One row for each text and each of its regions that matter."""
+def _chosen(region: np.ndarray, matter: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the regions that matter: the least crowded, by one total order. (text, region, bound of its size)."""
+    often = count[(region >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    rank = (np.minimum(often, 2**24 - 1).astype(np.uint64) << np.uint64(40)) | (region >> np.uint64(24))
+    order = np.argsort(rank, axis=1)
+    r, c = np.nonzero(np.arange(region.shape[1])[None, :] < matter[:, None])
+    col = order[r, c]
+    return r, region[r, col], often[r, col]
+
+
+def _marks(table: DataFrame, cells, least: int, t: float) -> np.ndarray:
+    """A bitmap of 2**MARK_BITS cells with a mark for every region of the evaluation texts (role 2); its size is the same for any input."""
+    slices = 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        on = np.zeros(2**MARK_BITS, bool)
+        for (_, tab), n, token in _read(batches):
+            for _, _, region, matter, _ in regions(n, token, _salt(tab), least, t):
+                on[(_chosen(region, matter, cells.value)[1] >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([np.packbits(x).tobytes() for x in on.reshape(slices, -1)], pa.binary())], names=["part", "cells"])
+
+    return _joined(table.where("role = 2").select("tab", "bag", "n", "words").mapInArrow(mark, "part int, cells binary"), slices)
+
+
+def _joined(bitmaps: DataFrame, slices: int) -> np.ndarray:
+    """The union of the bitmaps of all tasks, packed."""
+
+    def join(key: tuple, pdf):
+        on = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["cells"]])
+        pdf = pdf.head(1).copy()
+        pdf["cells"] = [on.tobytes()]
+        return pdf
+
+    found = {r["part"]: np.frombuffer(bytes(r["cells"]), np.uint8) for r in bitmaps.groupBy("part").applyInPandas(join, "part int, cells binary").collect()}
+    return np.concatenate([found[k] for k in range(slices)]) if found else np.zeros(0, np.uint8)
+
+
+def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
+    """One row for each text and each of its regions that matter. With ``marks``, training texts (role 1) only meet regions that evaluation texts have marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = cells.value
+        on = None if marks is None else np.unpackbits(marks.value).astype(bool)
         for (bag, tab, role), n, token in _read(batches, ("role",)):
             for docs, visit, region, matter, odd in regions(n, token, _salt(tab), least, t):
-                often = count[(region >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                rank = (np.minimum(often, 2**24 - 1).astype(np.uint64) << np.uint64(40)) | (region >> np.uint64(24))
-                order = np.argsort(rank, axis=1)
-                mine = np.arange(region.shape[1])[None, :] < matter[:, None]
-                r, c = np.nonzero(mine)
-                col = order[r, c]
-                key, k = region[r, col], often[r, col]
+                r, key, k = _chosen(region, matter, count)
+                if on is not None:
+                    hit = (role[docs[r]] != 1) | (on[(key >> np.uint64(64 - MARK_BITS)).astype(np.int64)] if len(on) else False)
+                    r, key, k = r[hit], key[hit], k[hit]
                 packed = np.packbits(odd, axis=1, bitorder="little")
                 flags = (np.minimum(n[docs], 2**20 - 1) << 3 | np.where(visit, 4, 0) | (role[docs] & 3)).astype(np.uint64)
                 small = odd.shape[1] == 104
@@ -300,16 +336,18 @@ def _meet(rows: DataFrame, parts: int, t: float, roles: bool) -> DataFrame:
                 if not len(i):
                     break
                 j = i + d
-                far = np.bitwise_count(sketch[0][i] ^ sketch[0][j]).astype(np.int64)
+                if roles:
+                    cross = role[i] != role[j]
+                    i_, j = i[cross], j[cross]
+                else:
+                    i_ = i
+                far = np.bitwise_count(sketch[0][i_] ^ sketch[0][j]).astype(np.int64)
                 for s in sketch[1:]:
-                    far += np.bitwise_count(s[i] ^ s[j])
-                ok = (far <= spread * (n[i] + n[j]) + 1e-9) | unknown[i] | unknown[j]
-                ok &= bag[i] != bag[j]
-                x, y = i[ok], j[ok]
+                    far += np.bitwise_count(s[i_] ^ s[j])
+                ok = (far <= spread * (n[i_] + n[j]) + 1e-9) | unknown[i_] | unknown[j]
+                x, y = i_[ok], j[ok]
                 if len(x):
-                    ok = ~(visitor[x] & visitor[y])
-                    if roles:
-                        ok &= role[x] != role[y]
+                    ok = ~(visitor[x] & visitor[y]) & (bag[x] != bag[y])
                     x, y = x[ok], y[ok]
                     a_all.append(np.minimum(bag[x], bag[y]))
                     b_all.append(np.maximum(bag[x], bag[y]))
@@ -330,16 +368,8 @@ def _wanted(bags_: DataFrame) -> np.ndarray:
             on[_cell(b.column(0).to_numpy())] = True
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([np.packbits(x).tobytes() for x in on.reshape(slices, -1)], pa.binary())], names=["part", "cells"])
 
-    def join(key: tuple, pdf):
-        on = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["cells"]])
-        pdf = pdf.head(1).copy()
-        pdf["cells"] = [on.tobytes()]
-        return pdf
-
-    on = np.zeros((slices, cells // slices), np.uint8)
-    for r in bags_.mapInArrow(mark, "part int, cells binary").groupBy("part").applyInPandas(join, "part int, cells binary").collect():
-        on[r["part"]] = np.unpackbits(np.frombuffer(bytes(r["cells"]), np.uint8))
-    return on.ravel()
+    on = _joined(bags_.mapInArrow(mark, "part int, cells binary"), slices)
+    return on if len(on) else np.zeros(cells // 8, np.uint8)
 
 
 def _cell(bag: np.ndarray) -> np.ndarray:
@@ -357,14 +387,15 @@ def alike_bags(table: DataFrame, least: int, t: float, roles: bool = False) -> D
     cells, total = _frequency(table, least, t)
     shared = spark.sparkContext.broadcast(cells)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000)
-    pairs = materialise(_meet(_emit(table, shared, least, t, roles), parts, t, roles), "pairs")
+    marks = spark.sparkContext.broadcast(_marks(table, shared, least, t)) if roles else None
+    pairs = materialise(_meet(_emit(table, shared, least, t, marks), parts, t, roles), "pairs")
 
     wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("bag"))
-    marks = spark.sparkContext.broadcast(np.packbits(_wanted(wanted.select("bag"))))
+    bitmap = spark.sparkContext.broadcast(_wanted(wanted.select("bag")))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        on = np.unpackbits(marks.value)
+        on = np.unpackbits(bitmap.value)
         for b in batches:
             bag = b.column(0).to_numpy()
             at = np.flatnonzero(on[_cell(bag)])

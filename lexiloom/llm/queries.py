@@ -77,6 +77,28 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumnRenamed("id", "pair_id")
 
 
+def _abuse(spark: SparkSession, d: str):
+    from lexiloom.llm.abuse import AbusiveContent
+
+    reddit, tweets = table(spark, d, "reddit_finance"), table(spark, d, "sem_eval")
+    return AbusiveContent(
+        [("reddit_finance", "selftext", reddit, "id", "selftext", "subreddit"), ("reddit_finance", "body", reddit, "id", "body", "subreddit"), ("sem_eval", "tweet", tweets, "id", "tweet", None)],
+        table(spark, d, "toxic_comments").select("comment_id", "comment_text", "toxic"),
+    )
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).review()
+
+
+def p5_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).scores()
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return _abuse(spark, d).rates()
+
+
 def _overlap(spark: SparkSession, d: str):
     from lexiloom.llm.overlap import SplitOverlap
 
