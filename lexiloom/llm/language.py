@@ -53,30 +53,44 @@ class LanguageModel:
     def __init__(self, texts: list[tuple[str, str]], floor: float = 0.1):
         counts: dict[str, Counter] = defaultdict(Counter)
         for text, code in texts:
-            counts[code].update(self._grams(text))
+            keys, _ = self._keys([text])
+            counts[code].update(keys.tolist())
         self.codes = sorted(counts)
-        self.index: dict[str, int] = {}
-        for c in self.codes:
-            for g in counts[c]:
-                self.index.setdefault(g, len(self.index))
-        table = np.full((len(self.index) + 1, max(1, len(self.codes))), floor)
+        self.grams = np.array(sorted({g for c in counts.values() for g in c}), np.int64)
+        table = np.full((len(self.grams) + 1, max(1, len(self.codes))), floor)
         for j, c in enumerate(self.codes):
-            for g, n in counts[c].items():
-                table[self.index[g], j] += n
-        self.table = np.log(table / table.sum(axis=0)).astype(np.float32)
+            found = np.array(list(counts[c].items()), np.int64).reshape(-1, 2)
+            table[np.searchsorted(self.grams, found[:, 0]), j] += found[:, 1]
+        self.table = np.log(table / table.sum(axis=0))
 
     @staticmethod
-    def _grams(text: str) -> list[str]:
-        s = " " + _CLEAN.sub(" ", text.lower()).strip() + " "
-        return [s[i : i + 3] for i in range(len(s) - 2)]
+    def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The trigrams of all texts and where those of each text begin; letters only, runs of all else as a blank."""
+        clean = [" " + _CLEAN.sub(" ", t.lower()).strip() + " \0" for t in texts]
+        flat = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum([len(c) for c in clean])])
+        keys = np.full(len(flat), -1)
+        keys[:-2] = (flat[:-2] << 42) | (flat[1:-1] << 21) | flat[2:]
+        last = start[1:] - 1
+        for back in (0, 1, 2):
+            keys[np.maximum(last - back, 0)] = -1
+        if len(texts) == 1:
+            return keys[keys >= 0], start
+        return keys, start[:-1]
 
-    def scores(self, text: str) -> np.ndarray:
-        """The log-likelihood of the text under each language."""
-        last = len(self.index)
-        at = [self.index.get(g, last) for g in self._grams(text)]
-        return self.table[at].sum(axis=0)
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """The log-likelihood of each text (row) under each language."""
+        out = np.zeros((len(texts), self.table.shape[1]))
+        if not texts or not len(self.grams):
+            return out
+        keys, start = self._keys([*texts, ""])
+        at = np.searchsorted(self.grams, keys).clip(max=len(self.grams) - 1)
+        at = np.where(self.grams[at] == keys, at, len(self.grams))
+        for j in range(out.shape[1]):
+            out[:, j] = np.add.reduceat(np.where(keys < 0, 0.0, self.table[at, j]), start)[:-1]
+        return out
 
-    def posterior(self, text: str) -> dict[str, float]:
-        s = self.scores(text)
-        p = np.exp(s - s.max())
-        return dict(zip(self.codes, (p / p.sum()).tolist(), strict=True))
+    def posteriors(self, texts: list[str]) -> np.ndarray:
+        s = self.scores(texts)
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)

@@ -11,17 +11,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from lexiloom.llm.bags import _cell, _wanted, mix
 from lexiloom.llm.language import LanguageModel, asked, guess
 from lexiloom.session import materialise
 
-#: Texts per language on which the language model is fitted, by hash order.
-TRAINING_TEXTS = 300
+#: Rows drawn by hash order from either table, and texts per language of them, on which the language model is fitted.
+TRAINING_ROWS, TRAINING_TEXTS = 4_000, 300
 #: Least log-odds by which a text must belong to its language rather than the other text's.
 MARGIN = 6.0
 #: A text whose last n-gram ends a line less often than this breaks off; so does one whose last sentence, seen elsewhere, ends there less often than the other.
@@ -86,33 +87,69 @@ def is_copy(prompt: str, context: str, answer: str) -> bool:
     return common >= 0.65 * ni and (o & (i + c)).total() >= 0.75 * n
 
 
-def tokens(text: str) -> list[str]:
-    """Words, numbers as #, marks; each line of a list opens with a token of its own."""
-    out = ["^"]
-    for line in text.split("\n"):
-        if len(out) > 1:
-            out.append("\n")
-        item = bool(_ITEM.match(line))
-        if item:
-            out.append("<item>")
-        out += ["#" if t[0].isdigit() else t.lower() for t in _TOKEN.findall(line)]
-    while out and out[-1] == "\n":
-        out.pop()
-    return out
+_C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def contexts(seq: list[str], i: int, item: bool) -> list[int]:
-    """Hashes of the last 1, 2 and 3 tokens up to i; those in list items are kept apart."""
-    mark = "L" if item else "P"
-    return [xxhash.xxh64_intdigest(f"{mark}{k}\0" + "\0".join(seq[max(0, i - k + 1) : i + 1])) - 2**63 for k in (1, 2, 3)]
+class _Tokens(dict):
+    """64-bit hashes of tokens; numbers are #."""
 
+    def __missing__(self, t: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[t] = xxhash.xxh64_intdigest("#" if t[0].isdigit() else t.lower())
+        return value
 
-def sentence_context(seq: list[str], i: int) -> int:
-    """A hash of all tokens of the sentence up to i."""
-    a = i
-    while a > 0 and seq[a - 1] not in ("\n", ".", "!", "?", "^"):
-        a -= 1
-    return xxhash.xxh64_intdigest("S\0" + "\0".join(t for t in seq[a : i + 1] if t != "<item>")) - 2**63
+
+_tokens = _Tokens()
+_START, _LINE, _STOP = _tokens["^"], _tokens["\n"], _tokens["."]
+_ENDS = np.array([_STOP, _tokens["!"], _tokens["?"], _LINE, _START], np.uint64)
+
+
+class Stream:
+    """The tokens of many texts in a row, with the n-grams that end at each.
+
+    ``ctx``: the last token, the last two, the last three (those in items of
+    lists kept apart) and the sentence so far, as 64-bit hashes. ``last`` marks
+    the last token of a text.
+    """
+
+    def __init__(self, texts: list[str]):
+        flat: list[int] = []
+        item: list[bool] = []
+        stop: list[int] = []
+        for text in texts:
+            flat.append(_START)
+            item.append(False)
+            for k, line in enumerate(text.rstrip().split("\n")):
+                found = _TOKEN.findall(line)
+                if k:
+                    flat.append(_LINE)
+                    item.append(False)
+                flat.extend(map(_tokens.__getitem__, found))
+                item.extend([bool(found) and _ITEM.match(line) is not None] * len(found))
+            stop.append(len(flat))
+        t = self.t = np.array(flat, np.uint64)
+        self.item = np.array(item, bool)
+        self.stop = np.array(stop, np.int64)
+        self.last = np.zeros(len(t), bool)
+        self.last[self.stop - 1] = True
+        before = np.concatenate([t[:1], t[:-1]])
+        before2 = np.concatenate([t[:2], t[:-2]])[: len(t)]
+        mark = np.where(self.item, _C3, np.uint64(0))
+        one = mix(t + mark)
+        two = mix(one + before * _C1)
+        three = mix(two + before2 * _C2)
+        begin = np.isin(before, _ENDS)
+        begin[0] = True
+        at = np.arange(len(t))
+        start = np.maximum.accumulate(np.where(begin, at, 0))
+        part = np.cumsum(mix(t + (at - start).astype(np.uint64) * _C2))
+        sentence = mix(part - np.where(start > 0, part[np.maximum(start - 1, 0)], np.uint64(0)) + _C3)
+        self.ctx = np.stack([one, two, three, sentence]).view(np.int64)
+        follows = np.concatenate([t[1:], t[:1]])
+        self.line = ~self.last & (follows == _LINE)
+        self.dot = ~self.last & (follows == _STOP)
+        self.word = (t != _START) & (t != _LINE)
 
 
 class PairDefects:
@@ -134,80 +171,54 @@ class PairDefects:
     def _fit(self, labelled: DataFrame, text: str, lang: str, label_key: str) -> LanguageModel:
         code = F.substring(F.lower(F.trim(lang)), 1, 2)
         a = labelled.where(F.col(text).isNotNull() & F.length(F.trim(lang)).between(2, 5) & (code != "un")).select(F.col(text).alias("t"), code.alias("code"), F.xxhash64(label_key).alias("h"))
-        guessed = F.udf(lambda t: guess(t) if t else None, "string")
-        b = self.pairs.select(F.col("r").alias("t"), F.xxhash64("id").alias("h")).unionAll(self.pairs.select("p", F.xxhash64("id")))
-        b = b.withColumn("code", guessed("t")).where("code is not null").select("t", "code", "h")
-        take = Window.partitionBy("from", "code").orderBy("h", "t")
-        both = a.withColumn("from", F.lit(0)).unionAll(b.withColumn("from", F.lit(1))).withColumn("n", F.row_number().over(take)).where(F.col("n") <= TRAINING_TEXTS)
-        return LanguageModel([(r["t"], r["code"]) for r in both.select("t", "code").collect()])  # at most TRAINING_TEXTS per language
-
-    def _endings(self) -> DataFrame:
-        """(context, seen, ends, lines, dots): how often each n-gram (and beginning of a sentence) of all responses is seen, ends a text, ends a line within one, and goes on with a full stop."""
+        b = self.pairs.select("p", "r", F.xxhash64("id").alias("h"))
+        found = [(r["t"], r["code"]) for r in a.orderBy("h", "t").limit(TRAINING_ROWS).collect()]  # at most TRAINING_ROWS
+        for r in b.orderBy("h", "p", "r").limit(TRAINING_ROWS).collect():
+            found += [(t, guess(t)) for t in (r["p"], r["r"]) if t]
+        taken: Counter = Counter()
+        out = []
+        for t, c in found:
+            if c and taken[c] < 2 * TRAINING_TEXTS:
+                taken[c] += 1
+                out.append((t, c))
+        return LanguageModel(out)
+
+    def _endings(self, wanted) -> DataFrame:
+        """(context, seen, ends, lines, dots): how often each n-gram (and beginning of a sentence) of all responses is seen, ends a text, ends a line within one, and goes on with a full stop. ``wanted``: a bitmap of the contexts asked for."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: Counter = Counter()
-            ends: Counter = Counter()
-            lines: Counter = Counter()
-            dots: Counter = Counter()
-
-            def flush() -> pa.RecordBatch:
-                keys = list(seen)
-                b = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *[pa.array([c[k] for k in keys], pa.int64()) for c in (seen, ends, lines, dots)]], names=["context", "seen", "ends", "lines", "dots"])
-                for c in (seen, ends, lines, dots):
-                    c.clear()
-                return b
-
+            on = np.unpackbits(wanted.value)
             for b in batches:
-                for text in b.column(0).to_pylist():
-                    seq, item = tokens(clean(text)), False
-                    state = xxhash.xxh64(b"S")
-                    for i, t in enumerate(seq):
-                        if t in ("\n", "^"):
-                            item = False
-                            state = xxhash.xxh64(b"S")
-                            continue
-                        state.update("\0" + t)
-                        if t == "<item>":
-                            item = True
-                            continue
-                        last = i + 1 == len(seq)
-                        found = [*contexts(seq, i, item), state.intdigest() - 2**63]
-                        seen.update(found)
-                        if last:
-                            ends.update(found)
-                        elif seq[i + 1] == "\n":
-                            lines.update(found)
-                        elif seq[i + 1] == ".":
-                            dots.update(found)
-                        if t in (".", "!", "?"):
-                            state = xxhash.xxh64(b"S")
-                    if len(seen) > 500_000:
-                        yield flush()
-            yield flush()
+                s = Stream([clean(x) for x in b.column(0).to_pylist()])
+                keys, kinds = [], []
+                kind = 1 + s.last * (1 << 16) + s.line * (1 << 32) + s.dot * (1 << 48)
+                for ctx in s.ctx:
+                    hit = s.word & (on[_cell(ctx)] > 0)
+                    keys.append(ctx[hit])
+                    kinds.append(kind[hit])
+                key, at = np.unique(np.concatenate(keys), return_inverse=True)
+                total = np.concatenate(kinds)
+                cols = [np.bincount(at, (total >> (16 * i)) & 0xFFFF, minlength=len(key)).astype(np.int64) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, cols)], names=["context", "seen", "ends", "lines", "dots"])
 
         return self.pairs.select("r").where("r is not null").mapInArrow(count, "context long, seen long, ends long, lines long, dots long").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("seen", "ends", "lines", "dots")])
 
     def judged(self) -> DataFrame:
-        """(id, defect, lines of evidence for truncation) before the counts of endings are joined."""
+        """(id, defect, kind, contexts): the defect that a pair itself tells; else the n-grams whose counts must tell whether it breaks off."""
         model = self.pairs.sparkSession.sparkContext.broadcast(self.model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, defects, kinds, found = [], [], [], []
-                for id_, p, c, r in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                    defect, kind, ctx = judge(model.value, p or "", c or "", r)
-                    ids.append(id_)
-                    defects.append(defect)
-                    kinds.append(kind)
-                    found.append(ctx)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(defects, pa.string()), pa.array(kinds, pa.string()), pa.array(found, pa.list_(pa.int64()))], names=["id", "defect", "kind", "contexts"])
+                found = judge(model.value, *(col.to_pylist() for col in b.columns[1:]))
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(found, (pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)]], names=["id", "defect", "kind", "contexts"])
 
         return self.pairs.select("id", "p", "c", "r").mapInArrow(run, "id long, defect string, kind string, contexts array<long>")
 
     def defects(self) -> DataFrame:
         """(id, defect) of each defective pair."""
         judged = materialise(self.judged(), "judged")
-        counts = self._endings()
+        asked_for = judged.select(F.explode("contexts").alias("context"))
+        counts = self._endings(judged.sparkSession.sparkContext.broadcast(_wanted(asked_for)))
         level = judged.where("kind is not null").select("id", "kind", F.posexplode("contexts").alias("k", "context"))
         level = level.join(counts, "context", "left").fillna(0, ["seen", "ends", "lines", "dots"])
         # how a text ends does not speak for itself: line ends within texts count for n-grams, other texts' ends for sentences
@@ -228,36 +239,43 @@ class PairDefects:
         return told.unionAll(cut.select("id", F.lit("truncated").alias("defect")))
 
 
-def judge(model: LanguageModel, prompt: str, context: str, response: str | None) -> tuple[str | None, str | None, list[int] | None]:
-    """The defect if the pair itself tells it; else what its last n-grams must tell: kind ``end`` (no mark at the end) or ``dot`` (a number and a full stop)."""
-    if is_empty(response):
-        return "empty", None, None
-    answer = clean(response)
-    if is_empty(answer):
-        return "empty", None, None
-    if is_refusal(answer):
-        return "refusal", None, None
-    if is_copy(clean(prompt), clean(context), answer):
-        return "copy", None, None
-    if model.codes and sum(map(str.isalpha, answer)) >= 12 and sum(map(str.isalpha, prompt)) >= 12:
-        sp, sr = model.scores(prompt), model.scores(answer)
-        p, r = int(sp.argmax()), int(sr.argmax())
-        if p != r and sp[p] - sp[r] >= MARGIN and sr[r] - sr[p] >= MARGIN and model.codes[r] not in asked(prompt):
-            return "language", None, None
-    lines = answer.split("\n")
-    if len(lines) > 1 and _LONE_ITEM.match(lines[-1]):
-        return "truncated", None, None
-    seq = tokens(answer)
-    item = False
-    for t in seq:
-        item = t == "<item>" or (item and t != "\n")
-    while len(seq) > 1 and seq[-1] in "\"”’')]" and seq[-2] in ".!?…":
-        seq.pop()
-    last = seq[-1]
-    if last in ",:;(-–—/&":
-        return "truncated", None, None
-    if last in ".!?…。！？":
-        if last == "." and len(seq) > 3 and seq[-2] == "#" and not item:
-            return None, "dot", contexts(seq, len(seq) - 2, item)
-        return None, None, None
-    return None, "end", [*contexts(seq, len(seq) - 1, item), sentence_context(seq, len(seq) - 1)]
+def judge(model: LanguageModel, prompts: list[str | None], inputs: list[str | None], responses: list[str | None]) -> tuple[list, list, list]:
+    """The defect where the pair itself tells it; else what the last n-grams must tell: kind ``end`` (no mark at the end) or ``dot`` (a number and a full stop)."""
+    n = len(responses)
+    defects: list[str | None] = [None] * n
+    kinds: list[str | None] = [None] * n
+    found: list[list[int] | None] = [None] * n
+    answers = [clean(r) for r in responses]
+    for i, (p, c, r, answer) in enumerate(zip(prompts, inputs, responses, answers, strict=True)):
+        if is_empty(r) or is_empty(answer):
+            defects[i] = "empty"
+        elif is_refusal(answer):
+            defects[i] = "refusal"
+        elif is_copy(clean(p), clean(c), answer):
+            defects[i] = "copy"
+    left = [i for i in range(n) if defects[i] is None]
+    if model.codes and left:
+        sp, sr = model.scores([prompts[i] or "" for i in left]), model.scores([answers[i] for i in left])
+        for k in np.flatnonzero(sp.argmax(axis=1) != sr.argmax(axis=1)):
+            i, p, r = left[k], int(sp[k].argmax()), int(sr[k].argmax())
+            if sp[k, p] - sp[k, r] >= MARGIN and sr[k, r] - sr[k, p] >= MARGIN and sum(map(str.isalpha, answers[i])) >= 12 and sum(map(str.isalpha, prompts[i] or "")) >= 12 and model.codes[r] not in asked(prompts[i] or ""):
+                defects[i] = "language"
+    left = [i for i in left if defects[i] is None]
+    ask = []
+    for i in left:
+        answer = answers[i].rstrip()
+        lines = answer.split("\n")
+        end = re.sub(r"(?<=[.!?…])[\"”’')\]]+$", "", answer)
+        if len(lines) > 1 and _LONE_ITEM.match(lines[-1]) or end[-1:] in ",:;(-–—/&":
+            defects[i] = "truncated"
+        elif end[-1:] in ".!?…。！？":
+            if re.search(r"\d\.$", end) and not _ITEM.match(lines[-1]):
+                ask.append((i, end[:-1], "dot"))
+        else:
+            ask.append((i, answer, "end"))
+    if ask:
+        s = Stream([text for _, text, _ in ask])
+        for (i, _, kind), at in zip(ask, s.stop - 1, strict=True):
+            kinds[i] = kind
+            found[i] = s.ctx[: 4 if kind == "end" else 3, at].tolist()
+    return defects, kinds, found
