@@ -39,7 +39,7 @@ WORDS = re.compile(r"[^\W_]+")
 SKETCH_BITS = 20
 MARK_BITS = 25
 HOT = 50_000
-RATIO = 1.5
+RATIO = 1.75
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
