@@ -54,7 +54,7 @@ def without(x: Column | str, marker: str) -> Column:
 def normal_answer(x: Column | str) -> Column:
     """For exact match of answers: lower case, no ASCII punctuation, no English articles, single blanks."""
     bare = F.regexp_replace(F.lower(_c(x)), PUNCTUATION, "")
-    return strip(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), SPACE, " "))
+    return F.array_join(F.filter(words(bare), lambda w: ~w.isin("a", "an", "the")), " ")
 
 
 def clean_label(x: Column | str, default: str = "Unlabelled") -> Column:

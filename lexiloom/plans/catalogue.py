@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("eda", "prepare", "learn", "relational")
+
+
+def _all() -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(f"lexiloom.plans.{m}").Q
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return {name: fn for name, (fn, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
