@@ -386,7 +386,7 @@ def alike_bags(table: DataFrame, least: int, t: float, roles: bool = False) -> D
     spark = table.sparkSession
     cells, total = _frequency(table, least, t)
     shared = spark.sparkContext.broadcast(cells)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 1_000_000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
     marks = spark.sparkContext.broadcast(_marks(table, shared, least, t)) if roles else None
     pairs = materialise(_meet(_emit(table, shared, least, t, marks), parts, t, roles), "pairs")
 
