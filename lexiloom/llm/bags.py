@@ -298,9 +298,10 @@ def _meet(rows: DataFrame, parts: int, t: float, roles: bool) -> DataFrame:
     spread = (1 - t) / (1 + t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ = pa.Table.from_batches(list(batches))
-        if not all_.num_rows:
+        read = [b for b in batches if b.num_rows]
+        if not read:
             return
+        all_ = pa.Table.from_batches(read)
         rest = all_.column("rest").combine_chunks()
         width = pa.compute.fill_null(pa.compute.binary_length(rest), 0).to_numpy(zero_copy_only=False)
         cols = [all_.column(c).to_numpy() for c in ("region", "bag", "head", "tail")]

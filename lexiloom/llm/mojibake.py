@@ -73,7 +73,8 @@ def _usual(text: str) -> bool:
 
 
 def restore_run(run: str, taken: tuple[str, ...]) -> tuple[str, list[tuple[str, str]]]:
-    """A run of non-ASCII characters with the UTF-8 in it decoded, and the (garbled, restored) parts."""
+    """A run of non-ASCII characters with the UTF-8 in it decoded, and the (garbled, restored) parts; by the encoding that explains most of the run."""
+    best: tuple[int, str, list[tuple[str, str]]] = (0, run, [])
     for encoding in taken:
         raw = run.translate(_table(encoding))
         parts, out, at = [], [], 0
@@ -83,9 +84,12 @@ def restore_run(run: str, taken: tuple[str, ...]) -> tuple[str, list[tuple[str,
                 out += [run[at : m.start()], good]
                 parts.append((run[m.start() : m.end()], good))
                 at = m.end()
-        if parts:
-            return "".join(out) + run[at:], parts
-    return run, []
+        told = sum(len(bad) for bad, _ in parts)
+        if told > best[0]:
+            best = told, "".join(out) + run[at:], parts
+            if told == len(run):
+                break
+    return best[1], best[2]
 
 
 def _words(text: str) -> list[str]:

@@ -2,6 +2,35 @@
 
 from __future__ import annotations
 
+_TOPIC = r"list_filter(list_transform(topics, lambda x: lower(regexp_replace(x, '^\s+|\s+$', '', 'g'))), lambda x: x IS NOT NULL AND x <> '')[1]"
+
+_POOL = f"""pool AS (SELECT new_id, min(topic) AS topic FROM (SELECT new_id, {_TOPIC} AS topic FROM reuters21578) WHERE new_id IS NOT NULL AND topic IS NOT NULL GROUP BY new_id),
+counts AS (SELECT topic, count(*) AS n FROM pool GROUP BY topic), size AS (SELECT count(*) AS n FROM pool)"""
+
+P1 = f"WITH {_POOL} SELECT t.topic FROM topic_targets t LEFT JOIN counts c ON c.topic = t.topic, size s WHERE greatest(t.target_share * (t.sample_share * s.n), t.min_rows) > coalesce(c.n, 0) * (1 + 1e-9)"
+
+_SIZES = """r AS (SELECT 'summaries' AS tab, sum_id AS id, max(coalesce(length(document), 0) + coalesce(length(summary), 0)) AS size, min(nullif(lower(trim(source)), '')) AS source FROM summaries WHERE sum_id IS NOT NULL GROUP BY sum_id
+UNION ALL SELECT 'wikitext', line_id, max(coalesce(length(text), 0)), min(nullif(lower(trim(source)), '')) FROM wikitext WHERE line_id IS NOT NULL GROUP BY line_id),
+s AS (SELECT tab, source, sum(size) AS size FROM r GROUP BY tab, source), x AS (SELECT m.*, coalesce(s.size, 0) AS size FROM mix_targets m LEFT JOIN s ON s.tab = m.tab AND s.source = lower(trim(m.source))),
+g AS (SELECT *, budget_share * sum(size) OVER w * weight / sum(weight) OVER w AS target FROM x WINDOW w AS (PARTITION BY mix_name))"""
+
+P3 = f"WITH {_SIZES} SELECT mix_name, lower(trim(source)) AS source FROM g WHERE max_repeats * size < target * (1 - 1e-12)"
+
+_BAGS = r"""w AS (SELECT tab, id, unnest(regexp_extract_all(lower(t), '[\p{L}\p{N}]+')) AS w FROM d), k AS (SELECT tab, id, w, row_number() OVER (PARTITION BY tab, id, w) AS j FROM w),
+n AS (SELECT tab, id, count(*) AS n FROM k GROUP BY tab, id HAVING count(*) >= 30), f AS (SELECT k.* FROM k JOIN n USING (tab, id)),
+s AS (SELECT a.tab, a.id AS id_a, b.id AS id_b, count(*) AS s FROM f a JOIN f b ON a.tab = b.tab AND a.w = b.w AND a.j = b.j AND a.id < b.id GROUP BY 1, 2, 3),
+p AS (SELECT s.tab, id_a, id_b FROM s JOIN n x ON x.tab = s.tab AND x.id = id_a JOIN n y ON y.tab = s.tab AND y.id = id_b WHERE 4 * s >= 3 * (x.n + y.n - s))"""
+
+P2 = f"""WITH d AS (SELECT 'reddit_finance' AS tab, id, any_value(body) AS t FROM reddit_finance WHERE body IS NOT NULL GROUP BY id UNION ALL SELECT 'reuters21578', new_id, any_value(text) FROM reuters21578 WHERE text IS NOT NULL GROUP BY new_id UNION ALL SELECT 'news_finance', news_id, any_value(description) FROM news_finance WHERE description IS NOT NULL GROUP BY news_id),
+{_BAGS} SELECT tab, id_a, id_b FROM p"""
+
+_SPLITS = f"""d AS (SELECT 'reuters21578' AS tab, new_id AS id, any_value(text) AS t, any_value(lower(trim(split))) AS split, NULL::VARCHAR AS source FROM reuters21578 WHERE text IS NOT NULL GROUP BY new_id
+UNION ALL SELECT 'summaries', sum_id, any_value(document), any_value(lower(trim(split))), any_value(nullif(lower(trim(source)), '')) FROM summaries WHERE document IS NOT NULL GROUP BY sum_id
+UNION ALL SELECT 'wikitext', line_id, any_value(text), any_value(lower(trim(split))), any_value(nullif(lower(trim(source)), '')) FROM wikitext WHERE text IS NOT NULL GROUP BY line_id),
+{_BAGS}, o AS (SELECT p.tab, id_a, id_b, x.split AS sa, y.split AS sb FROM p JOIN d x ON x.tab = p.tab AND x.id = id_a JOIN d y ON y.tab = p.tab AND y.id = id_b WHERE (x.split = 'train' AND y.split IN ('test', 'validation')) OR (y.split = 'train' AND x.split IN ('test', 'validation')))"""
+
+P6 = f"WITH {_SPLITS} SELECT tab, id_a, id_b FROM o"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p6_found": P6}
