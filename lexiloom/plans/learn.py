@@ -92,11 +92,12 @@ def minhash_dedup(t):
     return S.keep_first_greedy(d.select(F.col("doc_id").alias("id")), edges).select(F.col("id").alias("doc_id"), "kept", "original")
 
 
-@q("SELECT r.new_id AS outer_id, n.news_id AS inner_id FROM (SELECT DISTINCT new_id, text FROM reuters21578 WHERE text IS NOT NULL) r JOIN (SELECT DISTINCT news_id, title FROM news_finance WHERE title IS NOT NULL) n ON contains(r.text, n.title)")
+@q("SELECT r.pair_id AS outer_id, n.pair_id AS inner_id FROM (SELECT DISTINCT pair_id, output FROM finance_alpaca WHERE output IS NOT NULL) r JOIN (SELECT DISTINCT pair_id, instruction FROM finance_alpaca WHERE instruction <> '') n ON contains(r.output, n.instruction)")
 def contamination(t):
     from lexiloom.operators.sets import containing
 
-    return containing(t("reuters21578"), "new_id", "text", t("news_finance"), "news_id", "title").toDF("outer_id", "inner_id")
+    f = t("finance_alpaca")
+    return containing(f, "pair_id", "output", f, "pair_id", "instruction").toDF("outer_id", "inner_id")
 
 
 @q(f"""SELECT dims, round(avg({COS.format('x.embedding[:dims]', 'y.embedding[:dims]')}), 5) AS mean_cosine, round(corr({COS.format('x.embedding[:dims]', 'y.embedding[:dims]')}, CASE WHEN x.label = y.label THEN 1.0 ELSE 0.0 END), 5) AS correlation FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1, (SELECT unnest([64, 32, 16]) AS dims) GROUP BY dims""")

@@ -40,7 +40,7 @@ def unescape(column: str):
 
 def labelled_tree(spark: SparkSession, path: str, labels: dict[str, int] | None = None, validation: int | None = None, seed: int = 42, part: str | None = None) -> DataFrame:
     """(text, split, label[, code]) of a tree split/label/file.txt; with ``validation`` per mille held out by hash, ``part`` training or validation."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     where = F.regexp_extract("path", r"([^/]+)/([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)/([^/]+)/[^/]+$", 2)
     df = df.withColumn("split", where[0]).withColumn("label", where[1])
     if labels is not None:
@@ -59,7 +59,7 @@ def category_lines(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def whole_text(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
 
 
 READING = "data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string,answer_start:int>>>>>>>>"

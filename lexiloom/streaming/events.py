@@ -13,15 +13,15 @@ def stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def tumbling(df: DataFrame, width: str, late: str = "10 minutes") -> DataFrame:
-    """(window, event_type, n, total); on streams late rows count within the watermark."""
-    if df.isStreaming:
+def tumbling(df: DataFrame, width: str, late: str | None = "10 minutes") -> DataFrame:
+    """(window, event_type, n, total); on streams late rows count within the watermark (None: one is set before)."""
+    if df.isStreaming and late:
         df = df.withWatermark("ts", late)
     return df.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def sliding(df: DataFrame, width: str, step: str, late: str = "10 minutes") -> DataFrame:
-    if df.isStreaming:
+def sliding(df: DataFrame, width: str, step: str, late: str | None = "10 minutes") -> DataFrame:
+    if df.isStreaming and late:
         df = df.withWatermark("ts", late)
     return df.groupBy(F.window("ts", width, step), "event_type").agg(F.count("*").alias("n"))
 
@@ -31,8 +31,8 @@ def keep_first(df: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def word_counts(df: DataFrame, text: str, width: str, late: str = "10 minutes") -> DataFrame:
-    if df.isStreaming:
+def word_counts(df: DataFrame, text: str, width: str, late: str | None = "10 minutes") -> DataFrame:
+    if df.isStreaming and late:
         df = df.withWatermark("ts", late)
     return df.select("ts", F.explode(lower_words(text)).alias("word")).groupBy(F.window("ts", width), "word").agg(F.count("*").alias("n"))
 
