@@ -39,6 +39,8 @@ WORDS = re.compile(r"[^\W_]+")
 SKETCH_BITS = 20
 MARK_BITS = 25
 HOT = 50_000
+#: Rows of a region from which on it is compared in strips, pairs of a strip, and the length from which on it is not known exactly.
+SMALL, STRIP, UNKNOWN = 24, 2**15, 2**20 - 1
 RATIO = 1.75
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -261,7 +263,7 @@ def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
                     hit = (role[docs[r]] != 1) | (on[(key >> np.uint64(64 - MARK_BITS)).astype(np.int64)] if len(on) else False)
                     r, key, k = r[hit], key[hit], k[hit]
                 packed = np.packbits(odd, axis=1, bitorder="little")
-                flags = (np.minimum(n[docs], 2**20 - 1) << 3 | np.where(visit, 4, 0) | (role[docs] & 3)).astype(np.uint64)
+                flags = (np.minimum(n[docs], UNKNOWN) << 3 | np.where(visit, 4, 0) | (role[docs] & 3)).astype(np.uint64)
                 small = odd.shape[1] == 104
                 head = np.ascontiguousarray(packed[:, :8]).view(np.uint64)[:, 0]
                 if small:
@@ -293,6 +295,66 @@ def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
     return table.select("tab", "bag", "n", "words", "role").mapInArrow(run, "region long, bag long, head long, tail long, rest binary")
 
 
+def _candidates(region: np.ndarray, head: np.ndarray, n: np.ndarray, role: np.ndarray | None, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one region that fit in length and in the first word of their sketches.
+
+    Rows are sorted by region and length (with roles: region, role, length).
+    Small regions are compared all at once, neighbour by neighbour; in larger
+    ones, each strip of rows is compared with those rows that are not too long.
+    """
+    spread = (1 - t) / (1 + t)
+    if not len(region):
+        return
+    cut = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]]))
+    size = np.diff(cut)
+    small = np.repeat(size < SMALL, size)
+    i = np.flatnonzero(small)
+    end = np.repeat(cut[1:], size)
+    d = 0
+    while True:
+        d += 1
+        i = i[i + d < end[i]]
+        if not len(i):
+            break
+        j = i + d
+        if role is not None:
+            cross = role[i] != role[j]
+            x, y = i[cross], j[cross]
+        else:
+            x, y = i, j
+        both = n[x] + n[y]
+        ok = np.bitwise_count(head[x] ^ head[y]) <= spread * both + 1e-9
+        ok |= both >= UNKNOWN
+        yield x[ok], y[ok]
+    for g in np.flatnonzero(size >= SMALL):
+        lo, hi = int(cut[g]), int(cut[g + 1])
+        mid = lo + int(np.searchsorted(role[lo:hi], 2)) if role is not None else lo
+        i0 = lo
+        last = mid if role is not None else hi
+        base = mid if role is not None else lo  # where the partners begin
+        lengths = n[base:hi]
+        xs, ys = [], []
+        while i0 < last:
+            # partners of the strip: not shorter than t times its shortest, not longer than its longest over t
+            a = i0 if role is None else base + int(np.searchsorted(lengths, t * n[i0] - 1e-9))
+            i1 = min(last, i0 + max(1, STRIP // max(1, hi - a)))
+            b = base + int(np.searchsorted(lengths, n[i1 - 1] / t + 1e-9, side="right")) if n[i1 - 1] < UNKNOWN and n[hi - 1] < UNKNOWN else hi
+            if b > a:
+                most = spread * (n[i1 - 1] + n[b - 1]) + 1e-9 if n[b - 1] < UNKNOWN else 64
+                near = np.bitwise_count(head[i0:i1, None] ^ head[None, a:b]) <= int(min(most, 64))
+                r, c = np.divmod(np.flatnonzero(near), b - a)
+                r, c = r + i0, c + a
+                if role is None:
+                    later = c > r
+                    r, c = r[later], c[later]
+                if len(r):
+                    xs.append(r)
+                    ys.append(c)
+            i0 = i1
+        if xs:
+            yield np.concatenate(xs), np.concatenate(ys)
+
+
 def _meet(rows: DataFrame, parts: int, t: float, roles: bool) -> DataFrame:
     """Pairs of bags that share a region and whose sketches allow the likeness."""
     spread = (1 - t) / (1 + t)
@@ -319,37 +381,25 @@ def _meet(rows: DataFrame, parts: int, t: float, roles: bool) -> DataFrame:
             else:
                 sketch.append(tail >> np.uint64(24))
             flags = (tail & np.uint64(0xFFFFFF)).astype(np.int64)
-            order = np.lexsort((flags & 3, bag, region))
+            order = np.lexsort((bag, flags, region))
             region, bag, flags = region[order], bag[order], flags[order]
             same = np.zeros(len(region), bool)  # copies, delivered by several tasks
-            same[1:] = (region[1:] == region[:-1]) & (bag[1:] == bag[:-1]) & ((flags[1:] & 3) == (flags[:-1] & 3))
-            keep = ~same
-            region, bag, flags = region[keep], bag[keep], flags[keep]
-            sketch = [s[order][keep] for s in sketch]
+            same[1:] = (region[1:] == region[:-1]) & (bag[1:] == bag[:-1]) & (flags[1:] == flags[:-1])
+            order = order[~same]
+            region, bag, flags = region[~same], bag[~same], flags[~same]
             n, role, visitor = flags >> 3, flags & 3, (flags & 4) > 0
-            unknown = n >= 2**20 - 1
-            i = np.arange(len(region))
-            d = 0
-            while True:
-                d += 1
-                i = i[i + d < len(region)]
-                i = i[region[i] == region[i + d]]
-                if not len(i):
-                    break
-                j = i + d
-                if roles:
-                    cross = role[i] != role[j]
-                    i_, j = i[cross], j[cross]
-                else:
-                    i_ = i
-                far = np.bitwise_count(sketch[0][i_] ^ sketch[0][j]).astype(np.int64)
+            if roles:  # within a region: by role, then by length
+                by = np.lexsort((n, role, region))
+                order, region, bag, n, role, visitor = order[by], region[by], bag[by], n[by], role[by], visitor[by]
+            sketch = [s[order] for s in sketch]
+            for x, y in _candidates(region, sketch[0], n, role if roles else None, t):
+                far = np.bitwise_count(sketch[0][x] ^ sketch[0][y]).astype(np.int64)
                 for s in sketch[1:]:
-                    far += np.bitwise_count(s[i_] ^ s[j])
-                ok = (far <= spread * (n[i_] + n[j]) + 1e-9) | unknown[i_] | unknown[j]
-                x, y = i_[ok], j[ok]
+                    far += np.bitwise_count(s[x] ^ s[y])
+                ok = (far <= spread * (n[x] + n[y]) + 1e-9) | (n[x] >= UNKNOWN) | (n[y] >= UNKNOWN)
+                ok &= ~(visitor[x] & visitor[y]) & (bag[x] != bag[y])
+                x, y = x[ok], y[ok]
                 if len(x):
-                    ok = ~(visitor[x] & visitor[y]) & (bag[x] != bag[y])
-                    x, y = x[ok], y[ok]
                     a_all.append(np.minimum(bag[x], bag[y]))
                     b_all.append(np.maximum(bag[x], bag[y]))
         if a_all:
