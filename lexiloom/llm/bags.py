@@ -101,7 +101,7 @@ def bag_table(df: DataFrame, key: str, text: str, tab: int, least: int, role: st
     salt = np.uint64(tab * 0x5851F42D4C957F2D % 2**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             ids, roles = b.column(0), b.column(1)
             at, n, token = bags(b.column(2).to_pylist(), least)
             start = np.concatenate([[0], np.cumsum(n)])

@@ -94,7 +94,9 @@ def restore_run(run: str, taken: tuple[str, ...]) -> tuple[str, list[tuple[str,
 
 def _words(text: str) -> list[str]:
     """Words with non-ASCII characters; a # follows those that stand right before a digit (currency signs)."""
-    return [m[0] + "#" * text[m.end() : m.end() + 1].isdigit() for m in _WORD.finditer(text) if not m[0].isascii()]
+    found = [m[0] + "#" * text[m.end() : m.end() + 1].isdigit() for m in _WORD.finditer(text) if not m[0].isascii()]
+    # a text about encodings names single characters
+    return [w for w in found if len(w) > 1] if _TALK.search(text) else found
 
 
 class Finder:
