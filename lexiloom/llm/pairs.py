@@ -84,7 +84,9 @@ def is_copy(prompt: str, context: str, answer: str) -> bool:
     if n < 4 or ni < 4:
         return False
     common = (o & i).total()
-    return common >= 0.65 * ni and (o & (i + c)).total() >= 0.75 * n
+    times = min(4, max(1, round(n / ni)))  # the prompt may be given back several times
+    again = Counter({w: k * times for w, k in i.items()}) + c
+    return common >= 0.65 * ni and (o & again).total() >= 0.75 * n
 
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)

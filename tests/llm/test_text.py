@@ -16,6 +16,7 @@ def test_empty_refusal_copy():
     assert is_refusal("I'm sorry, but I can't help with that.") and is_refusal("Hello Ann, No comment. I do not answer such questions.")
     assert not is_refusal("Sorry to hear that. The bank must refund $5 if you ask.") and not is_refusal("I can't say which fund is best for everyone, but a small one usually calls for a cheap fee.")
     assert is_copy("Why did the price of tin fall in May?", "", 'You asked: "Why did the price of tin fall in May?"')
+    assert is_copy("Should I sell the bond now?", "", "Should I sell the bond now? Should I sell the bond now?")
     assert not is_copy("Why did the price of tin fall in May?", "", "Why did the price of tin fall in May? Because the mines in the north had been reopened and stocks grew every week.")
 
 
