@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,14 +36,39 @@ def jaccard_join(df: DataFrame, key: str, tokens: str, threshold: float) -> Data
     return out.where((F.col("ha") != F.col("hb")) | (F.col("i") < F.col("j"))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "jaccard")
 
 
+def _bands(permutations: int, bands: int):
+    """(h, id, band, v): the bands of the MinHash signature of each set of token hashes, a batch at a time."""
+    rng = np.random.default_rng(1)
+    a = rng.integers(1, 2**63, permutations, dtype=np.uint64) | np.uint64(1)
+    b = rng.integers(0, 2**63, permutations, dtype=np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x")
+            flat = x.flatten().to_numpy().view(np.uint64)
+            start = np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())])[:-1]  # no set is empty
+            out = np.zeros((bands, batch.num_rows), np.uint64)
+            for i in range(permutations):
+                v = flat * a[i] + b[i]
+                v ^= v >> np.uint64(29)
+                v *= np.uint64(0x9E3779B97F4A7C15)
+                low = np.minimum.reduceat(v, start)
+                k = i * bands // permutations
+                out[k] = (out[k] ^ low) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(i + 1)
+            for k in range(bands):
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("id"), pa.array(np.full(batch.num_rows, k, np.int32)), pa.array(out[k].view(np.int64))], names=["h", "id", "band", "v"])
+
+    return run
+
+
 def minhash_pairs(df: DataFrame, key: str, tokens: str, threshold: float, permutations: int = 128, bands: int = 16) -> DataFrame:
     """(a, b): pairs that share a band of their MinHash signature and are at least ``threshold`` alike, a < b. Equal sets are one class: each further row of it is paired with its first."""
     sets = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("w")).where(F.size("w") > 0).withColumn("h", F.xxhash64("w"))
-    one = sets.groupBy("h").agg(F.min("id").alias("id"), F.any_value("w").alias("w"))
-    rows = permutations // bands
-    hashed = F.transform("w", lambda t: F.xxhash64(t))
-    band = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.array_min(F.transform(hashed, lambda v, s=b * rows + r: F.xxhash64(v, F.lit(s)))) for r in range(rows)]).alias("v")) for b in range(bands)]
-    sig = one.select("h", "id", F.explode(F.array(*band)).alias("s")).select("h", "id", "s.band", "s.v")
+    one = sets.groupBy("h").agg(F.min("id").cast("long").alias("id"), F.any_value("w").alias("w"))
+    hashes = one.select("h", "id", F.transform("w", lambda t: F.xxhash64(t)).alias("x"))
+    sig = hashes.mapInArrow(_bands(permutations, bands), "h long, id long, band int, v long")
     sig = sig.join(one.select("h", F.size("w").alias("n")), "h")
     x, y = sig.alias("x"), sig.alias("y")
     fits = (F.col("x.id") < F.col("y.id")) & (F.col("x.n") >= threshold * F.col("y.n")) & (F.col("y.n") >= threshold * F.col("x.n"))

@@ -81,13 +81,14 @@ def angular_join(df: DataFrame, key: str, vector: str, threshold: float, other:
     spark = df.sparkSession
     left = df.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.lit(0).alias("side"))
     rows = left if other is None else left.unionAll(other.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector), F.lit(1)))
-    pivots = left.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()
+    n = rows.count()
+    pivots = left.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, n // CELL))).collect()  # few rows need no cells
     if not pivots:
         return spark.createDataFrame([], "a long, b long, cosine double")
     p = spark.sparkContext.broadcast(_unit([r["v"] for r in pivots]))
     two = other is not None
     radius = float(np.arccos(np.clip(threshold, -1, 1)))
-    crowd = max(1, -(-rows.count() // (CELL * max(1, len(pivots) // 4))))
+    crowd = max(1, -(-n // (4 * CELL * max(1, len(pivots) // 4))))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

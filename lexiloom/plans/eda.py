@@ -48,7 +48,8 @@ def _ngram_sql(n: int, tab: str) -> str:
 def _ngram(t, n, tab):
     from lexiloom.functions.arrays import ngrams
 
-    return t(tab).select(F.explode(ngrams(T.lower_words("text"), n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "gram").limit(10)
+    w = t(tab).select(T.lower_words("text").alias("w"))  # a column of its own: split once a text, not once an n-gram
+    return w.select(F.explode(ngrams("w", n)).alias("gram")).groupBy("gram").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "gram").limit(10)
 
 
 @q(_ngram_sql(2, "reuters21578"))
