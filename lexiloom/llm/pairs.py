@@ -186,12 +186,12 @@ class PairDefects:
         return LanguageModel(out)
 
     def _endings(self, wanted) -> DataFrame:
-        """(context, seen, ends, lines, dots): how often each n-gram (and beginning of a sentence) of all responses is seen, ends a text, ends a line within one, and goes on with a full stop. ``wanted``: a bitmap of the contexts asked for."""
+        """(context, seen, ends, lines, dots): how often each n-gram (and beginning of a sentence) of all distinct responses is seen, ends a text, ends a line within one, and goes on with a full stop. ``wanted``: a bitmap of the contexts asked for."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             on = np.unpackbits(wanted.value)
             for b in batches:
-                s = Stream([clean(x) for x in b.column(0).to_pylist()])
+                s = Stream(b.column(0).to_pylist())
                 keys, kinds = [], []
                 kind = 1 + s.last * (1 << 16) + s.line * (1 << 32) + s.dot * (1 << 48)
                 for ctx in s.ctx:
@@ -203,7 +203,15 @@ class PairDefects:
                 cols = [np.bincount(at, (total >> (16 * i)) & 0xFFFF, minlength=len(key)).astype(np.int64) for i in range(4)]
                 yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, cols)], names=["context", "seen", "ends", "lines", "dots"])
 
-        return self.pairs.select("r").where("r is not null").mapInArrow(count, "context long, seen long, ends long, lines long, dots long").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("seen", "ends", "lines", "dots")])
+        def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [clean(x) for x in b.column(0).to_pylist()]
+                keys = [xxhash.xxh64_intdigest(" ".join(t.lower().split())) - 2**63 for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string())], names=["h", "text"])
+
+        # a response counts once however many pairs give it: copies of a judged text must not speak for it
+        distinct = self.pairs.select("r").where("r is not null").mapInArrow(cleaned, "h long, text string").groupBy("h").agg(F.min("text").alias("text"))
+        return distinct.select("text").mapInArrow(count, "context long, seen long, ends long, lines long, dots long").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("seen", "ends", "lines", "dots")])
 
     def judged(self) -> DataFrame:
         """(id, defect, kind, contexts): the defect that a pair itself tells; else the n-grams whose counts must tell whether it breaks off."""

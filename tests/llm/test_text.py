@@ -116,3 +116,13 @@ def test_bpe_equals_the_public_encoder(spark):
     got = sorted((r["doc_id"], list(r["ids"])) for r in encode(df, "doc_id", "text").collect())
     assert got == [(1, ref.encode_ordinary("hello hello"))] * 2 + [(2, []), (3, [])]
     assert encode(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_copies_do_not_speak_for_their_ending(spark):
+    rows = [(i, f"What is the fee of plan {i}?", "", f"The plan costs {i} dollars a year. The bank takes it in May.") for i in range(20)]
+    cut = "The plan costs much. Before you sign, compare the total amount and the"
+    rows += [(100 + i, f"Is plan {i} good?", "", cut if i else cut.replace("much. ", "much.  ")) for i in range(12)]
+    df = spark.createDataFrame(rows, "k long, q string, c string, a string")
+    docs = spark.createDataFrame([(1, "the fee of the bank and the price of the bond", "en")], "doc_id long, text string, lang string")
+    got = {r["id"]: r["defect"] for r in PairDefects(df, docs, "k", "q", "c", "a").defects().collect()}
+    assert got == {100 + i: "truncated" for i in range(12)}
