@@ -126,3 +126,15 @@ def test_copies_do_not_speak_for_their_ending(spark):
     docs = spark.createDataFrame([(1, "the fee of the bank and the price of the bond", "en")], "doc_id long, text string, lang string")
     got = {r["id"]: r["defect"] for r in PairDefects(df, docs, "k", "q", "c", "a").defects().collect()}
     assert got == {100 + i: "truncated" for i in range(12)}
+
+
+def test_restores_long_passages_whole():
+    m = AbuseModel(ROWS)
+    r = m.restorer
+    plain = "the bank raised the fee of the loan keep the bond and sell the fund " * 3 + "go to hell you stupid pig"
+    spaced = " ".join(plain.replace(" ", ""))
+    assert len(spaced) > 200 and r(spaced).endswith("go to hell you stupid pig")
+    assert r(spaced.replace("b o n d", "b x q z", 1)).endswith("go to hell you stupid pig")
+    assert m.scores([spaced])[0] > 0.5
+    assert r("you st" + "u" * 400 + "pid pig") == "you stupid pig" and r("idiot" + "t" * 3000) == "idiot"
+    assert r("qwrtzpsd" * 200) == "qwrtzpsd" * 200
