@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Queries held in memory at once by ``nearest``; more are taken block by block. Pivots of ``angular_join`` and rows of a cell compared in one go.
 QUERY_BLOCK, PIVOTS, CELL = 8_192, 64, 4_096
+#: Open edges that ``keep_first_greedy`` goes through in one place rather than by joins.
+FEW_EDGES = 100_000
 
 
 def _unit(vectors) -> np.ndarray:
@@ -124,33 +127,51 @@ def angular_join(df: DataFrame, key: str, vector: str, threshold: float, other:
     return cells.groupBy("cell").applyInPandas(compare, "a long, b long, cosine double").dropDuplicates(["a", "b"])
 
 
-def keep_first_greedy(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def keep_first_greedy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, kept, original): the result of going through the nodes in order and dropping each that is linked to one kept before.
 
-    ``nodes`` (id), ``edges`` (a, b) with a < b. A node whose smaller
-    neighbours are all dropped is kept; one with a kept smaller neighbour is
-    dropped; repeated until all are told. Each round is a join of the edges
-    that are left; the state is written to the shared folder.
+    ``nodes`` (id), ``edges`` (a, b) with a < b, both of them nodes. A node
+    whose smaller neighbours are all dropped is kept; one with a kept smaller
+    neighbour is dropped; repeated until all are told, however long the chains
+    are. Each round joins the edges still open with the nodes told last and
+    writes both to the shared folder; FEW_EDGES or fewer are gone through in order.
     """
     from lexiloom.session import materialise
 
+    spark = nodes.sparkSession
     edges = materialise(edges.select("a", "b").distinct(), "edges")
-    linked = edges.select(F.col("b").alias("id")).distinct()
-    state = materialise(nodes.join(linked, "id", "left_anti").select("id", F.lit(True).alias("kept")), "state")  # no smaller neighbour
-    open_ = linked
-    for _ in range(rounds):
-        near = edges.join(open_.withColumnRenamed("id", "b"), "b").join(state.select(F.col("id").alias("a"), "kept"), "a", "left")
+    fresh = materialise(nodes.join(edges.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.lit(True).alias("kept")), "state")  # no smaller neighbour
+    left, parts = edges, [fresh]
+    while n := left.count():
+        near = left.join(fresh.distinct().withColumnRenamed("id", "a"), "a", "left").select("a", "b", "kept")
+        if n <= FEW_EDGES:
+            parts.append(spark.createDataFrame(_in_order(near.collect()), parts[0].schema))  # at most FEW_EDGES
+            break
         told = near.groupBy(F.col("b").alias("id")).agg(F.max("kept").alias("any"), F.count_if(F.col("kept").isNull()).alias("left"))
         told = materialise(told.withColumn("kept", F.when(F.coalesce("any", F.lit(False)), False).when(F.col("left") == 0, True)).select("id", "kept"), "told")
+        still = told.where("kept is null").select(F.col("id").alias("b"))
+        left = materialise(near.where("kept is null").join(still, "b", "left_semi").select("a", "b"), "left")
         fresh = told.where("kept is not null")
         if not fresh.take(1):
-            break
-        state = materialise(state.unionAll(fresh), "state")
-        open_ = told.where("kept is null").select("id")
+            raise ValueError("an edge starts at no node")
+        parts.append(fresh)
+        if len(parts) >= 20:
+            parts = [materialise(reduce(DataFrame.unionAll, parts), "state")]
+    state = reduce(DataFrame.unionAll, parts)
     first = edges.join(state.where("kept").select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("original"))
     return state.join(first, "id", "left").select("id", "kept", F.when(~F.col("kept"), F.col("original")).alias("original"))
 
 
+def _in_order(rows: list) -> list[tuple]:
+    """(id, kept) of the larger ends of edges (a, b, whether a is kept if that is told), gone through in order."""
+    kept: dict = {}
+    for a, b, told in sorted(rows, key=lambda r: r[1]):
+        if told is None and a not in kept:
+            raise ValueError("an edge starts at no node")
+        kept[b] = kept.get(b, True) and not (kept[a] if told is None else told)
+    return list(kept.items())
+
+
 def maxsim(queries: DataFrame, docs: DataFrame, query: str, doc: str, vector: str) -> DataFrame:
     """(query, doc, score): late interaction, the sum over query vectors of the best dot product with a vector of the document. For short candidate lists."""
     from lexiloom.functions.arrays import dot

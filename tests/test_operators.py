@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import corpus as C
@@ -165,3 +166,15 @@ def test_models(spark):
     vocab = X.train_wordpiece([("low", 5), ("lower", 2), ("newest", 6), ("widest", 3)], 30)
     assert "##est" in vocab
     assert X.generate({"ab": {"c": 1}, "bc": {"d": 1}}, "ab", 5) == "abcd"
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_keep_first_greedy_tells_long_chains(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW_EDGES", few)  # 0: by joins to the end
+    edges = spark.createDataFrame([(i, i + 1) for i in range(69)] + [(0, 5)], "a long, b long")
+    got = {r["id"]: (r["kept"], r["original"]) for r in S.keep_first_greedy(spark.range(72), edges).collect()}
+    want: dict = {}
+    for i in range(72):
+        near = [a for a in sorted({i - 1} | ({0} if i == 5 else set())) if 0 < i < 70 and want[a][0]]
+        want[i] = (not near, near[0] if near else None)
+    assert got == want
