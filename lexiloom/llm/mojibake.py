@@ -6,7 +6,8 @@ characters are aligned place by place; each aligned pair votes for the codecs
 that lead from one to the other. Transformations with enough votes are learned
 and applied to all other records: where the bytes form UTF-8, at once; where
 one single-byte encoding was taken for another, if the restored word is known
-from other records and the garbled one is rare.
+from other texts and the garbled one is rare, or if a clean twin shows it. Copies
+of a text count once in all of this.
 """
 
 from __future__ import annotations
@@ -157,6 +158,23 @@ def fix(word: str, taken: str, truth: str) -> str | None:
     return good if good != word and _usual("".join(c for c in good if ord(c) > 127)) else None
 
 
+def _said(sentence: str) -> int:
+    return xxhash.xxh64_intdigest(sentence) - 2**63
+
+
+def _by_twins(text: str, ways: dict[int, str]) -> str:
+    """The text with the runs restored of those sentences that a twin shows to be garbled."""
+    out, at = [], 0
+    for end, stop in [*((m.start(), m.end()) for m in _SENTENCE.finditer(text)), (len(text), len(text))]:
+        s = text[at:end]
+        way = ways.get(_said(s))
+        if way:
+            s = _RUN.sub(lambda m, way=way: fix(m[0], *way.split(">")) or m[0], s)
+        out += [s, text[end:stop]]
+        at = stop
+    return "".join(out)
+
+
 class Mojibake:
     """Finds records with garbled characters and restores them where possible.
 
@@ -178,7 +196,7 @@ class Mojibake:
 
         def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys, runs = [], []
+                keys, runs, said = [], [], []
                 for text in b.column(0).to_pylist():
                     for s in _SENTENCE.split(text):
                         found = _RUN.findall(s)
@@ -187,16 +205,19 @@ class Mojibake:
                             if sum(map(str.isalpha, bare)) >= LEAST_LETTERS:
                                 keys.append(xxhash.xxh64_intdigest(bare) - 2**63)
                                 runs.append(found)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.list_(pa.string()))], names=["bare", "runs"])
+                                said.append(_said(s))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(runs, pa.list_(pa.string())), pa.array(said, pa.int64())], names=["bare", "runs", "said"])
 
-        seen = self.rows.select("text").mapInArrow(sentences, "bare long, runs array<string>").distinct()
+        seen = self.rows.select("text").mapInArrow(sentences, "bare long, runs array<string>, said long").dropDuplicates(["bare", "runs"])
         seen = materialise(seen, "sentences")
         twins = seen.join(seen.groupBy("bare").count().where("count > 1").select("bare"), "bare", "left_semi")
         x, y = twins.alias("x"), twins.alias("y")
-        pairs = x.join(y, (F.col("x.bare") == F.col("y.bare")) & (F.col("x.runs") < F.col("y.runs"))).select(F.explode(F.arrays_zip(F.col("x.runs").alias("a"), F.col("y.runs").alias("b"))).alias("z")).select("z.*").where("a <> b")
+        pairs = x.join(y, (F.col("x.bare") == F.col("y.bare")) & (F.col("x.runs") < F.col("y.runs"))).select(F.col("x.said").alias("sa"), F.col("y.said").alias("sb"), F.explode(F.arrays_zip(F.col("x.runs").alias("a"), F.col("y.runs").alias("b"))).alias("z")).select("sa", "sb", "z.*").where("a <> b")
+        self.aligned = pairs
         pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
         often = seen.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("times"))
         pairs = pairs.join(often.select(F.col("run").alias("a"), F.col("times").alias("ta")), "a").join(often.select(F.col("run").alias("b"), F.col("times").alias("tb")), "b")
+        self.pairs = pairs = materialise(pairs, "pairs")
 
         def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: dict[str, int] = {}
@@ -224,26 +245,47 @@ class Mojibake:
             left = {ways: n for ways, n in left.items() if best not in ways}
         return learned
 
+    def _shown(self) -> DataFrame:
+        """(said, way): the sentences that a clean twin shows to be garbled, by the learned transformation of single bytes that explains an aligned run."""
+        single = self.single
+
+        def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out: list[tuple] = []
+                for r in b.to_pylist():
+                    for first, bad, good, tb, tg in ((True, r["a"], r["b"], r["ta"], r["tb"]), (False, r["b"], r["a"], r["tb"], r["ta"])):
+                        way = next((f"{a}>{t}" for a, t in single if tg > tb and fix(bad, a, t) == good), None)
+                        if way:
+                            out.append((r["a"], r["b"], first, way))
+                cols = [[x[i] for x in out] for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.string()), strict=True)], names=["a", "b", "first", "way"])
+
+        told = self.pairs.mapInArrow(explain, "a string, b string, first boolean, way string")
+        return self.aligned.join(told, ["a", "b"]).select(F.when(F.col("first"), F.col("sa")).otherwise(F.col("sb")).alias("said"), "way").groupBy("said").agg(F.min("way").alias("way"))
+
     def _read(self) -> DataFrame:
-        """(id, sure, words): whether the text is garbled for certain, and its other words with non-ASCII characters."""
+        """(id, copy, sure, words, said): a hash of the text, whether it is garbled for certain, its other words with non-ASCII characters, and its sentences with such."""
         taken = self.taken
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(taken)
             for b in batches:
-                sure, words = [], []
+                copy, sure, words, said = [], [], [], []
                 for text in b.column(1).to_pylist():
+                    copy.append(xxhash.xxh64_intdigest(" ".join(text.split())) - 2**63)
                     sure.append(finder.hits(text))
                     words.append(sorted(set(_words(text))))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sure), pa.array(words, pa.list_(pa.string()))], names=["id", "sure", "words"])
+                    said.append(sorted({_said(x) for x in _SENTENCE.split(text) if not x.isascii() and not _TALK.search(x)}))
+                cols = [b.column(0), pa.array(copy, pa.int64()), pa.array(sure, pa.bool_()), pa.array(words, pa.list_(pa.string())), pa.array(said, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "copy", "sure", "words", "said"])
 
-        return self.rows.select("id", "text").mapInArrow(run, "id long, sure boolean, words array<string>")
+        return self.rows.select("id", "text").mapInArrow(run, "id long, copy long, sure boolean, words array<string>, said array<long>")
 
-    def _judge(self) -> tuple[DataFrame, DataFrame]:
-        """(id, sure) of all records read; (id, word, good, alone) of the words garbled by a single-byte encoding."""
+    def _judge(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(id, sure) of all records read; (id, word, good, alone) of the words garbled by a single-byte encoding; (id, said, way) of the sentences that a twin shows."""
         read = materialise(self._read(), "read")
         words = read.select("id", F.explode("words").alias("word")).distinct()
-        counts = words.groupBy("word").agg(F.count("*").alias("df"))
+        counts = read.select("copy", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("df"))  # copies count once
         pairs = [(a, t) for a in TAKEN_FOR for t in TRUTHS if t not in ("utf-8", a)]
 
         def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,27 +309,31 @@ class Mojibake:
         told = plain.where((F.length("word") >= 5) & (F.col("dg") >= 3)).groupBy("way").agg(F.countDistinct("word").alias("n")).where(F.col("n") >= LEAST_WORDS).select("way").collect()  # at most a row per pair of encodings
         ways = {f"{a}>{t}" for a, t in self.single} | {r["way"] for r in told}
         best = plain.where(F.col("way").isin(sorted(ways) or [""])).groupBy("word").agg(F.max_by(F.struct("good", (F.col("dg") >= SURE_ALONE * F.greatest("df", F.lit(1))).alias("alone")), F.struct("dg", "good")).alias("x")).select("word", "x.*")
-        return read, words.join(best, "word").select("id", "word", "good", (F.col("alone") | (F.length("word") >= 4)).alias("alone"))
+        shown = read.select("id", F.explode("said").alias("said")).join(self._shown(), "said").select("id", "said", "way").distinct()
+        return read, words.join(best, "word").select("id", "word", "good", (F.col("alone") | (F.length("word") >= 4)).alias("alone")), shown
 
     def found(self) -> DataFrame:
         """(id) of the records that hold garbled characters."""
-        read, bad = self._judge()
+        return self._found(*self._judge())
+
+    def _found(self, read: DataFrame, bad: DataFrame, shown: DataFrame) -> DataFrame:
         by_words = bad.groupBy("id").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n >= 2 or alone").select("id")
-        return read.where("sure").select("id").unionAll(by_words).distinct()
+        return read.where("sure").select("id").unionAll(by_words).unionAll(shown.select("id")).distinct()
 
     def restored(self) -> DataFrame:
         """(id, text, whole): the text restored as far as the learned transformations go, and whether no broken character is left in it."""
         taken = self.taken
-        _, bad = self._judge()
+        read, bad, shown = self._judge()
         words = bad.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("word", "good")))).alias("words"))  # the words of one text
-        both = self.rows.dropDuplicates(["id"]).join(self.found(), "id").join(words, "id", "left").select("id", "text", "words")
+        ways = shown.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("said", "way")))).alias("ways"))  # the sentences of one text
+        both = self.rows.dropDuplicates(["id"]).join(self._found(read, bad, shown), "id").join(words, "id", "left").join(ways, "id", "left").select("id", "text", "words", "ways")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(taken)
             for b in batches:
                 texts, whole = [], []
-                for text, words_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    text = finder.restore(text)
+                for text, words_, ways_ in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    text = finder.restore(_by_twins(text, dict(ways_)) if ways_ else text)
                     swap = dict(words_ or ())
                     text = _WORD.sub(lambda m, swap=swap, t=text: swap.get(m[0] + "#" * t[m.end() : m.end() + 1].isdigit(), m[0]).rstrip("#"), text)
                     texts.append(text)

@@ -138,3 +138,18 @@ def test_restores_long_passages_whole():
     assert m.scores([spaced])[0] > 0.5
     assert r("you st" + "u" * 400 + "pid pig") == "you stupid pig" and r("idiot" + "t" * 3000) == "idiot"
     assert r("qwrtzpsd" * 200) == "qwrtzpsd" * 200
+
+
+def test_mojibake_in_copies_and_by_a_lone_twin(spark):
+    def garble(t: str) -> str:
+        return t.encode("cp1252").decode("cp437")
+
+    clean = [f"La région numéro {i} était protégée depuis le mois de février dernier." for i in range(30)]
+    rows = list(enumerate(clean)) + [(100 + i, garble(clean[i])) for i in range(4)]
+    rows += [(200 + i, garble("Ouvert en février, une région protégée.")) for i in range(40)]  # one garbled text under many keys
+    lone = "Le gâteau brûlé mijotait sur le poêle."
+    rows += [(300, lone), (301, garble(lone))]
+    m = Mojibake(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    back = {r["id"]: r["text"] for r in m.restored().collect()}
+    assert set(back) == {100, 101, 102, 103, 301} | set(range(200, 240)) == {r["id"] for r in m.found().collect()}
+    assert back[200] == "Ouvert en février, une région protégée." and back[301] == lone
