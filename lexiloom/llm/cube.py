@@ -44,6 +44,28 @@ def allocate(counts: dict[str | None, int], targets: dict[str, tuple[float, int]
     return out
 
 
+def fill(plan: pd.DataFrame, listed: set[str], sample: float) -> pd.DataFrame:
+    """The allocation with what categories cannot give made up by others, until it sums to the sample.
+
+    Categories without a target come first, in proportion to what they have
+    left, so that the met ones keep their share of the sample; only what these
+    cannot give goes to listed ones with records left, in proportion to what is
+    wanted of them. wanted and met stay.
+    """
+    plan = plan.copy()
+    out, room = plan["allotted"].to_numpy(float).copy(), plan["available"].to_numpy(float)
+    own = plan["category"].isin(listed).to_numpy()
+    for among in (~own, own):
+        weight = plan["wanted"].to_numpy(float) if among is own else room - out
+        while (short := sample - out.sum()) > EPS * max(1.0, sample):
+            some = among & (room - out > EPS) & (weight > 0)
+            if not some.any():
+                break
+            out[some] = np.minimum(out[some] + short * weight[some] / weight[some].sum(), room[some])
+    plan["allotted"] = out
+    return plan
+
+
 def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """One flight phase: moves ``p`` (probabilities) while the totals of ``x`` (records x constraints) stay.
 
@@ -135,8 +157,8 @@ class CategorySample:
         self.pool = materialise(one, "pool")
         self.seed = seed
         counts = {r["category"]: r["count"] for r in self.pool.groupBy("category").count().collect()}  # one row per category
-        self.plan = allocate(counts, targets, share)
         self.size = sum(counts.values())
+        self.plan = fill(allocate(counts, targets, share), set(targets), share * self.size)
 
     def _plan(self) -> DataFrame:
         return self.pool.sparkSession.createDataFrame(self.plan, "category string, available long, wanted double, allotted double, met boolean")

@@ -113,3 +113,17 @@ def test_pack_keeps_every_token(spark, monkeypatch, group):
     r = {x["spec_id"]: x for x in report(packed, specs).collect()}
     assert r[1]["fill"] > 0.97 and 3 not in r
     assert pack(spark.createDataFrame([], "key long, tokenizer string, size long"), specs).count() == 0
+
+
+def test_shortfall_is_made_up(spark):
+    from lexiloom.llm.cube import fill
+
+    counts, targets = {"a": 10, "b": 400, "c": 90, "other": 500}, {"a": (0.5, 2), "b": (0.3, 2), "c": (0.21, 2)}
+    plan = fill(allocate(counts, targets, 0.2), set(targets), 200).set_index("category")["allotted"]
+    assert plan.to_dict() == pytest.approx({"a": 10, "b": 60, "c": 42, "other": 88})
+    counts["other"] = 4
+    plan = fill(allocate(counts, targets, 0.7), set(targets), 0.7 * 504).set_index("category")["allotted"]
+    assert plan["a"] == 10 and plan["other"] == 4 and plan["c"] == 90 and plan.sum() == pytest.approx(0.7 * 504)
+    df = spark.createDataFrame([(i, "a" if i < 10 else "b" if i < 410 else "other") for i in range(900)], "id long, c string")
+    s = CategorySample(df, "id", "c", {"a": (0.5, 2), "b": (0.52, 2)}, 0.2)
+    assert s.sample().count() in (179, 180, 181) and [r["category"] for r in s.unmet().collect()] == ["a"]
