@@ -293,7 +293,7 @@ def accent_folding(t):
 def tokens_with_offsets(t):
     from lexiloom.functions.python import token_offsets
 
-    return t("documents").where("kind = 'intent'").select("doc_id", token_offsets("text").alias("tokens"))
+    return t("documents").select("doc_id", token_offsets("text").alias("tokens"))
 
 
 @q()
