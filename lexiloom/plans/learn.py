@@ -83,6 +83,15 @@ def jaccard_pairs(t):
     return jaccard_join(d, "doc_id", "w", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@q()
+def jaccard_pairs_all(t):
+    """As jaccard_pairs, over documents of every kind."""
+    from lexiloom.operators.sets import jaccard_join
+
+    d = t("documents").where("text is not null").select("doc_id", F.array_distinct(T.lower_words("text")).alias("w"))
+    return jaccard_join(d, "doc_id", "w", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 @q()
 def minhash_dedup(t):
     from lexiloom.operators.sets import minhash_pairs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from lexiloom.plans import catalogue
 
 TEXTS = [
@@ -20,6 +22,13 @@ def folder(spark, tmp_path) -> str:
     return str(tmp_path)
 
 
+def test_near_duplicates_of_every_kind(spark, tmp_path):
+    sets = {i: set(t.lower().split()) for i, t, _ in TEXTS if t and t.split()}
+    want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(sets, 2)}
+    got = catalogue.queries()["jaccard_pairs_all"](spark, folder(spark, tmp_path)).collect()
+    assert {(r["a"], r["b"]): r["jaccard"] for r in got} == {k: round(v, 6) for k, v in want.items() if v >= 0.8}
+
+
 def test_tokens_with_offsets_of_every_kind(spark, tmp_path):
     got = {r["doc_id"]: r["tokens"] for r in catalogue.queries()["tokens_with_offsets"](spark, folder(spark, tmp_path)).collect()}
     assert set(got) == {i for i, _, _ in TEXTS} and len(got[1]) == 10
