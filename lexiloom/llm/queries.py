@@ -78,12 +78,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _abuse(spark: SparkSession, d: str):
+    from pyspark.sql import functions as F
+
     from lexiloom.llm.abuse import AbusiveContent
 
     reddit, tweets = table(spark, d, "reddit_finance"), table(spark, d, "sem_eval")
     return AbusiveContent(
         [("reddit_finance", "selftext", reddit, "id", "selftext", "subreddit"), ("reddit_finance", "body", reddit, "id", "body", "subreddit"), ("sem_eval", "tweet", tweets, "id", "tweet", None)],
-        table(spark, d, "toxic_comments").select("comment_id", "comment_text", "toxic"),
+        table(spark, d, "toxic_comments").select("comment_id", "comment_text", F.greatest("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")),  # any flag; nulls are skipped
     )
 
 

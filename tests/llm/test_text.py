@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lexiloom.llm.abuse import AbuseModel, AbusiveContent
+from lexiloom.llm.abuse import REVIEW, AbuseModel, AbusiveContent
 from lexiloom.llm.language import LanguageModel, asked, guess
 from lexiloom.llm.mojibake import Finder, Mojibake, fix
 from lexiloom.llm.pairs import PairDefects, is_copy, is_empty, is_refusal
@@ -59,9 +59,9 @@ def test_restores_obfuscated_words():
 
 def test_scores(spark):
     m = AbuseModel(ROWS)
-    s = m.scores(["sell the bond. shut up you p1g", "the fee of the loan", None, "", "the bank " * 500 + "go to hell you 1di0t"])
-    assert s[0] > 0.5 and s[1] < 0.4 and s[2] == 0 and s[3] == 0 and s[4] > 0.5
-    assert AbuseModel([]).scores(["x", None]).max() < 0.5
+    s = m.scores(["sell the bond. shut up you p1g", "the fee of the loan", None, "", "the bank is here. " * 500 + "go to hell you 1di0t"])
+    assert s[0] >= REVIEW and s[1] < REVIEW and s[2] == 0 and s[3] == 0 and s[4] >= REVIEW
+    assert AbuseModel([]).scores(["x", None]).max() < REVIEW
     texts = spark.createDataFrame([(1, "shut up you stupid idiot", " News "), (1, "shut up you stupid idiot", "news"), (2, "the bank raised the fee of the loan and the fund lost", None), (3, None, "news"), (None, "you idiot", "news")], "id long, text string, score string")
     labelled = spark.createDataFrame([(i, t, int(b)) for i, (t, b) in enumerate(ROWS)] + [(99, "x", None)], "k long, t string, y int")
     a = AbusiveContent([("t", "text", texts, "id", "text", "score")], labelled)
@@ -71,6 +71,19 @@ def test_scores(spark):
     assert AbusiveContent([("t", "text", texts.limit(0), "id", "text", None)], labelled).review().count() == 0
 
 
+def test_corpus_counts_weigh_features(spark):
+    m = AbuseModel(ROWS)
+    before = m.scores(["you are here"])[0]
+    common = ["you are here with the bank"] * 3 + ["are you sure"] * 3
+    m.fit(*m.counts(m.ids(common * 50)))
+    assert m.scores(["you are here"])[0] < before and m.scores(["shut up you filthy moron"])[0] >= REVIEW
+    # of copies one counts; masks longer than any word are none
+    texts = spark.createDataFrame([(i, "the bank is here.") for i in range(30)] + [(99, "you " + "*" * 5000 + " pig")], "id long, text string")
+    a = AbusiveContent([("t", "text", texts, "id", "text", None)], spark.createDataFrame([(i, t, int(b)) for i, (t, b) in enumerate(ROWS)], "k long, t string, y int"))
+    assert a._counted(spark.sparkContext.broadcast(a.model.value), len(a.model.value.features))[1] == 2
+    assert a.scores().count() == 31
+
+
 def test_garbled_runs():
     f = Finder(("cp1252", "latin-1", "cp437", "mac_roman", "cp1251"))
     for text in ("café à l'été", "цена выросла", "€5 – “quoted”", "naïve"):
@@ -135,7 +148,7 @@ def test_restores_long_passages_whole():
     spaced = " ".join(plain.replace(" ", ""))
     assert len(spaced) > 200 and r(spaced).endswith("go to hell you stupid pig")
     assert r(spaced.replace("b o n d", "b x q z", 1)).endswith("go to hell you stupid pig")
-    assert m.scores([spaced])[0] > 0.5
+    assert m.scores([spaced])[0] >= REVIEW
     assert r("you st" + "u" * 400 + "pid pig") == "you stupid pig" and r("idiot" + "t" * 3000) == "idiot"
     assert r("qwrtzpsd" * 200) == "qwrtzpsd" * 200
 
