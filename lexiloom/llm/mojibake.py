@@ -13,8 +13,9 @@ of a text count once in all of this.
 from __future__ import annotations
 
 import re
+from bisect import bisect, bisect_left
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import pyarrow as pa
 import xxhash
@@ -40,7 +41,11 @@ SURE_ALONE = 30
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 _WORD = re.compile(r"(?:[A-Za-z'’]|[^\x00-\x7f\s])+")
-_UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf4][\x80-\xbf]{3})+")
+#: Well-formed UTF-8 beyond ASCII: no surrogates, nothing above U+10FFFF.
+_UTF8 = re.compile(
+    rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
+)
 _BROKEN = re.compile("[\x80-\x84\x86-\x9f�]")
 _TALK = re.compile(r"code page|encoding|charset|character set|mojibake|decod|utf-?8", re.I)
 
@@ -68,7 +73,7 @@ def _table(encoding: str) -> _Bytes:
 def _usual(text: str) -> bool:
     """Only characters that restored text may hold."""
     return all(
-        0xA0 <= (c := ord(x)) <= 0x17F or 0x2C6 <= c <= 0x2DD or 0x300 <= c <= 0x36F or 0x390 <= c <= 0x45F or c in (0x490, 0x491) or 0x1E00 <= c <= 0x1EFF or 0x200B <= c <= 0x2044 or 0x20A0 <= c <= 0x20BF or 0x2100 <= c <= 0x22FF or 0x2460 <= c <= 0x27BF or 0x3000 <= c <= 0x30FF or 0x4E00 <= c <= 0x9FFF or 0xAC00 <= c <= 0xD7A3 or 0xFE00 <= c <= 0xFE0F or 0xFF00 <= c <= 0xFFEF or 0x1F300 <= c <= 0x1FAFF
+        0xA0 <= (c := ord(x)) <= 0x17F or 0x2C6 <= c <= 0x2DD or 0x300 <= c <= 0x36F or 0x390 <= c <= 0x45F or c in (0x192, 0x490, 0x491) or 0x1E00 <= c <= 0x1EFF or 0x200B <= c <= 0x2044 or 0x20A0 <= c <= 0x20BF or 0x2100 <= c <= 0x22FF or 0x2460 <= c <= 0x27BF or 0x3000 <= c <= 0x30FF or 0x4E00 <= c <= 0x9FFF or 0xAC00 <= c <= 0xD7A3 or 0xFE00 <= c <= 0xFE0F or 0xFF00 <= c <= 0xFFEF or 0x1F300 <= c <= 0x1FAFF
         for x in text
     )
 
@@ -93,11 +98,11 @@ def restore_run(run: str, taken: tuple[str, ...]) -> tuple[str, list[tuple[str,
     return best[1], best[2]
 
 
-def _words(text: str) -> list[str]:
+def _words(text: str, explains: bool) -> list[str]:
     """Words with non-ASCII characters; a # follows those that stand right before a digit (currency signs)."""
     found = [m[0] + "#" * text[m.end() : m.end() + 1].isdigit() for m in _WORD.finditer(text) if not m[0].isascii()]
     # a text about encodings names single characters
-    return [w for w in found if len(w) > 1] if _TALK.search(text) else found
+    return [w for w in found if len(w) > 1] if explains or _TALK.search(text) else found
 
 
 class Finder:
@@ -119,6 +124,12 @@ class Finder:
 
     def hits(self, text: str) -> bool:
         """Whether the text holds garbled characters other than to speak of them."""
+        return self.look(text)[0]
+
+    def look(self, text: str) -> tuple[bool, bool]:
+        """The same, and whether the text explains garbled characters up to there: alone, beside what they stand for in the same sentence or, letters, in the next one."""
+        starts: list[int] | None = None  # of the text's sentences
+        explains = False
         for m in _RUN.finditer(text):
             broken = _BROKEN.search(m[0])
             _, parts = self.run(m[0])
@@ -126,24 +137,27 @@ class Finder:
                 continue
             a, b = m.span()
             if (a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()):
-                start = max((x.end() for x in _SENTENCE.finditer(text, max(0, a - 400), a)), default=max(0, a - 400))
-                end = _SENTENCE.search(text, b)
-                rest = text[start:a] + "\0" + text[b : end.start() if end else len(text)]
+                if starts is None:
+                    starts = [0, *(x.end() for x in _SENTENCE.finditer(text)), len(text) + 1]
+                k, after = bisect(starts, a), bisect_left(starts, b)
                 whole = self.run(m[0])[0]
+                upto = starts[min(after + whole.isalpha(), len(starts) - 1)]
+                rest = text[starts[k - 1] : a] + "\0" + text[b:upto]
                 if parts and re.search(rf"(?<!\w){re.escape(whole)}(?!\w)", rest):
+                    explains = True
                     continue
-                if broken and not parts and _TALK.search(rest):
+                if broken and not parts and _TALK.search(text[starts[k - 1] : starts[after]]):
+                    explains = True
                     continue
-            return True
-        return False
+            return True, explains
+        return False, explains
 
     def restore(self, text: str) -> str:
-        for _ in range(3):  # text can be garbled several times over
+        while True:  # text can be garbled several times over; each round makes it shorter
             better = _RUN.sub(lambda m: self.run(m[0])[0], text)
-            if better == text:
-                break
+            if len(better) >= len(text):
+                return better
             text = better
-        return text
 
 
 def fix(word: str, taken: str, truth: str) -> str | None:
@@ -181,7 +195,8 @@ class Mojibake:
     Null keys take no part; null, empty and pure ASCII texts are no cases;
     repeated rows count once; other columns are not read. An empty table
     gives no rows. A text that shows garbled characters only to explain them
-    (alone, beside what they stand for in the same sentence) is no case.
+    (alone, beside what they stand for in the same sentence or, letters, in the
+    next one) is no case.
     """
 
     def __init__(self, records: DataFrame, key: str, text: str):
@@ -273,15 +288,17 @@ class Mojibake:
                 copy, sure, words, said = [], [], [], []
                 for text in b.column(1).to_pylist():
                     copy.append(xxhash.xxh64_intdigest(" ".join(text.split())) - 2**63)
-                    sure.append(finder.hits(text))
-                    words.append(sorted(set(_words(text))))
+                    hit, explains = finder.look(text)
+                    sure.append(hit)
+                    words.append(sorted(set(_words(text, explains))))
                     said.append(sorted({_said(x) for x in _SENTENCE.split(text) if not x.isascii() and not _TALK.search(x)}))
                 cols = [b.column(0), pa.array(copy, pa.int64()), pa.array(sure, pa.bool_()), pa.array(words, pa.list_(pa.string())), pa.array(said, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "copy", "sure", "words", "said"])
 
         return self.rows.select("id", "text").mapInArrow(run, "id long, copy long, sure boolean, words array<string>, said array<long>")
 
-    def _judge(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+    @cached_property
+    def _judged(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(id, sure) of all records read; (id, word, good, alone) of the words garbled by a single-byte encoding; (id, said, way) of the sentences that a twin shows."""
         read = materialise(self._read(), "read")
         words = read.select("id", F.explode("words").alias("word")).distinct()
@@ -314,7 +331,7 @@ class Mojibake:
 
     def found(self) -> DataFrame:
         """(id) of the records that hold garbled characters."""
-        return self._found(*self._judge())
+        return self._found(*self._judged)
 
     def _found(self, read: DataFrame, bad: DataFrame, shown: DataFrame) -> DataFrame:
         by_words = bad.groupBy("id").agg(F.count("*").alias("n"), F.max("alone").alias("alone")).where("n >= 2 or alone").select("id")
@@ -323,7 +340,7 @@ class Mojibake:
     def restored(self) -> DataFrame:
         """(id, text, whole): the text restored as far as the learned transformations go, and whether no broken character is left in it."""
         taken = self.taken
-        read, bad, shown = self._judge()
+        read, bad, shown = self._judged
         words = bad.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("word", "good")))).alias("words"))  # the words of one text
         ways = shown.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("said", "way")))).alias("ways"))  # the sentences of one text
         both = self.rows.dropDuplicates(["id"]).join(self._found(read, bad, shown), "id").join(words, "id", "left").join(ways, "id", "left").select("id", "text", "words", "ways")

@@ -99,6 +99,34 @@ def test_garbled_runs():
     assert fix("Θt", "cp437", "cp1252") == "ét" and fix("漢", "cp437", "cp1252") is None
 
 
+def test_no_run_of_bytes_breaks_the_decoder():
+    import itertools
+    import random
+
+    from lexiloom.llm.mojibake import TAKEN_FOR, _table, restore_run
+
+    rnd = random.Random(3)
+    high = range(0x80, 0x100)
+    runs = [bytes(x) for x in itertools.product((0xC2, 0xE0, 0xE1, 0xED, 0xEF, 0xF0, 0xF4, 0xF5), (0x80, 0x8F, 0x90, 0x9F, 0xA0, 0xBF), (0x80, 0xBF), (0x80, 0xBF))]
+    runs += [bytes(rnd.choices(high, k=rnd.randint(2, 4))) for _ in range(3000)]
+    for taken in TAKEN_FOR:
+        back = {v: k for k, v in _table(taken).items()}
+        for raw in runs:
+            text = "".join(chr(back[chr(b)]) for b in raw if chr(b) in back)
+            if text:
+                restore_run(text, (taken,))
+    assert restore_run("\u00ed\xa0\u20ac", ("cp1252", "latin-1"))[1] == []  # a surrogate is no character
+
+
+def test_explanations_are_no_cases():
+    f = Finder(("cp1252", "latin-1"))
+    assert not f.hits("Quiz, step 8: which sign hides behind Ã©? Right, it is é. We lost much.")
+    assert f.look('My export prints "Ã±" for "ñ", which setting is off?') == (False, True)
+    assert f.hits("( 1801 â€“ 1951 ) was a clerk. He wrote – much.") and f.hits("behind Ã©? Right. It is é.")
+    assert f.restore("naÃƒÆ’Ã‚Â¯ve") == "naïve"  # several times over
+    assert not f.hits("é " * 300 + "stands where Ã© is printed") and f.hits("word " * 300 + "cafÃ©")
+
+
 def test_mojibake_learns_from_twins(spark):
     clean = [f"La région numéro {i} était protégée depuis le mois de février dernier." for i in range(30)]
     rows = [(i, t) for i, t in enumerate(clean)]
