@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.session import materialise
 
-RECORDS_A_GROUP = 50_000
+#: Records of a flight phase; more are walked in several groups, whose undecided records merge upward.
+RECORDS_A_GROUP = 10_000
 FAN_IN = 16
 EPS = 1e-9
 
@@ -29,7 +30,8 @@ def allocate(counts: dict[str | None, int], targets: dict[str, tuple[float, int]
     wanted is the larger of target share x sample size and the minimum; a
     category with fewer records gives all it has and its target is not met.
     Categories without a target share in proportion what the targets leave of
-    the sample (nothing if they sum to 1 or more). An empty pool allots nothing.
+    the sample (nothing if they sum to 1 or more); they may be given as one
+    entry None. An empty pool allots nothing.
     """
     pool = sum(counts.values())
     sample = share * pool
@@ -156,19 +158,29 @@ class CategorySample:
         one = one.where("id is not null and category <> ''").groupBy("id").agg(F.min_by(F.struct("*"), F.struct("*")).alias("r")).select("r.*")
         self.pool = materialise(one, "pool")
         self.seed = seed
-        counts = {r["category"]: r["count"] for r in self.pool.groupBy("category").count().collect()}  # one row per category
+        self.targets = targets
+        listed = F.when(F.col("category").isin(list(targets)), F.col("category"))
+        counts = {r["c"]: r["count"] for r in self.pool.groupBy(listed.alias("c")).count().collect()}  # a row per target, one for all else
         self.size = sum(counts.values())
-        self.plan = fill(allocate(counts, targets, share), set(targets), share * self.size)
+        plan = fill(allocate(counts, targets, share), set(targets), share * self.size)
+        self.plan = plan[plan["category"].isin(list(targets))]
+        others = plan[~plan["category"].isin(list(targets))]
+        #: What a record of no listed category stands for: its part of what is wanted, and its inclusion probability.
+        self.other = tuple(float(others[c].sum() / max(1, others["available"].sum())) for c in ("wanted", "allotted"))
 
     def _plan(self) -> DataFrame:
-        return self.pool.sparkSession.createDataFrame(self.plan, "category string, available long, wanted double, allotted double, met boolean")
+        """(category, wanted, allotted) of the listed categories."""
+        rows = [(str(r.category), float(r.wanted), float(r.allotted)) for r in self.plan.itertuples()]
+        return self.pool.sparkSession.createDataFrame(rows, "category string, wanted double, allotted double")
 
     def sample(self) -> DataFrame:
         """(id, category) of the sample."""
         groups = max(1, -(-self.size // RECORDS_A_GROUP))
-        rates = self._plan().where("available > 0").select("category", (F.col("allotted") / F.col("available")).alias("p0"))
+        have = self.plan[self.plan["available"] > 0]
+        rates = self.pool.sparkSession.createDataFrame([(str(r.category), float(r.allotted / r.available)) for r in have.itertuples()], "category string, rate double")
         spread = F.xxhash64(F.col("id"), F.lit(self.seed))
-        state = self.pool.join(F.broadcast(rates), "category").where("p0 > 0").withColumn("p", F.col("p0")).withColumn("order", spread).withColumn("node", F.pmod(spread, F.lit(groups)))  # a row per category
+        state = self.pool.join(F.broadcast(rates), "category", "left")  # a row per target
+        state = state.withColumn("p0", F.coalesce("rate", F.lit(self.other[1]))).drop("rate").where("p0 > 0").withColumn("p", F.col("p0")).withColumn("order", spread).withColumn("node", F.pmod(spread, F.lit(groups)))
         schema, names, seed = state.schema, state.columns, self.seed
         decided, nodes = [], groups
         while True:
@@ -180,15 +192,27 @@ class CategorySample:
             state = step.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)).withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long"))
             nodes = -(-nodes // FAN_IN)
 
+    def _drawn(self, plan: DataFrame, available: DataFrame) -> DataFrame:
+        """``plan`` with the records there are and those in the sample, per category."""
+        drawn = self.sample().groupBy("category").agg(F.count("*").alias("drawn"))
+        out = plan.join(available, "category", "left").join(drawn, "category", "left")
+        out = out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("available", "drawn")})
+        # a category that is drawn whole and still falls behind cannot meet its target
+        return out.withColumn("met", (F.col("drawn") < F.col("available")) | (F.col("wanted") <= F.col("drawn") * (1 + EPS)))
+
     def report(self) -> DataFrame:
         """(category, available, wanted, allotted, met, drawn, residual): residual = drawn - allotted."""
-        drawn = self.sample().groupBy("category").agg(F.count("*").alias("drawn"))
-        out = self._plan().join(drawn, "category", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)).cast("long"))
-        return out.withColumn("residual", F.col("drawn") - F.col("allotted"))
+        available = self.pool.groupBy("category").agg(F.count("*").alias("available"))
+        listed = self._plan()
+        wanted, rate = self.other
+        others = available.where(~F.col("category").isin(list(self.targets))).select("category", (F.col("available") * wanted).alias("wanted"), (F.col("available") * rate).alias("allotted"))
+        out = self._drawn(listed.unionAll(others), available)
+        return out.select("category", "available", "wanted", "allotted", "met", "drawn", (F.col("drawn") - F.col("allotted")).alias("residual"))
 
     def unmet(self) -> DataFrame:
-        """(category) whose target the pool cannot meet, as the report has it."""
-        return self.report().where("not met").select("category")
+        """(category) of the targets that the sample misses although it holds all there is."""
+        available = self.pool.groupBy("category").agg(F.count("*").alias("available"))
+        return self._drawn(self._plan(), available).where("not met").select("category")
 
 
 def first_topic(column: str):

@@ -76,11 +76,10 @@ class Mix:
             for _, tab, _, source, share, cap in mix:
                 goal = total * share / weight if weight else 0.0
                 own = bins[(bins["tab"] == tab) & (bins["source"] == source) & (bins["bin"] >= 0)]
-                short = cap * sizes[source] < goal * (1 - 1e-12)
-                plans.append((name, tab, source, sizes[source], goal, int(cap), short))
+                plans.append((name, tab, source, sizes[source], goal, int(cap)))
                 expected = copies(own, min(goal, cap * sizes[source]), int(cap))
                 rates += [(name, tab, source, int(b), float(c)) for b, c in zip(own["bin"], expected, strict=True)]
-        self.plan = spark.createDataFrame(plans, "mix_name string, tab string, source string, available double, target double, cap int, short boolean")
+        self.plan = spark.createDataFrame(plans, "mix_name string, tab string, source string, available double, target double, cap int")
         self.rates = spark.createDataFrame(rates, "mix_name string, tab string, source string, bin int, expected double")
 
     def draw(self) -> DataFrame:
@@ -91,32 +90,38 @@ class Mix:
             .withColumn("whole", F.floor("expected"))
             .withColumn("p", F.col("expected") - F.col("whole"))
             .withColumn("u", u)
-            .withColumn("odds", F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
+            .withColumn("odds", F.col("u") / (1 - F.col("u")) * (1 - F.col("p")) / F.nullif(F.col("p"), F.lit(0.0)))
             .withColumn("fine", F.when(F.col("p") > 0, F.floor(F.col("odds") / (1 + F.col("odds")) * FINE)))
             .withColumn("coarse", F.floor(F.col("fine") / 1024))
         )
         group = ["mix_name", "tab", "source"]
-        asked = all_.groupBy(*group).agg(F.round(F.sum("p")).cast("long").alias("n"))
 
-        def cut(rows: DataFrame, level: str, need: DataFrame) -> DataFrame:
+        def cut(cells: DataFrame, level: str, need: DataFrame) -> DataFrame:
             """The cell in which the n-th least odds lie, and how many of it are taken."""
             w = Window.partitionBy(*group).orderBy(level)
-            cells = rows.groupBy(*group, level).count().withColumn("upto", F.sum("count").over(w))
-            return cells.join(need, group).where((F.col("upto") >= F.col("n")) & (F.col("upto") - F.col("count") < F.col("n"))).select(*group, F.col(level).alias(f"{level}_cut"), (F.col("n") - F.col("upto") + F.col("count")).alias("n"))
-
-        part = all_.where("fine is not null")
-        first = cut(part, "coarse", asked)
-        second = cut(part.join(F.broadcast(first.drop("n")), group).where("coarse = coarse_cut"), "fine", first)
-        edge = part.join(F.broadcast(second), group)  # a row per mix and source
-        order = Window.partitionBy(*group).orderBy("odds", "id")
-        won = edge.where("fine < fine_cut").select(*group, "id").unionAll(edge.where("fine = fine_cut").withColumn("place", F.row_number().over(order)).where("place <= n").select(*group, "id"))
-        won = won.withColumn("extra", F.lit(1))
-        out = all_.join(won, [*group, "id"], "left").withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("long"))
+            upto = cells.where(F.col(level).isNotNull()).withColumn("upto", F.sum("count").over(w)).join(need, group)
+            return upto.where((F.col("upto") >= F.col("n")) & (F.col("upto") - F.col("count") < F.col("n"))).select(*group, F.col(level).alias(f"{level}_cut"), (F.col("n") - F.col("upto") + F.col("count")).alias("n"))
+
+        # bounded tables: listed sources x 1024 cells, twice
+        coarse = materialise(all_.groupBy(*group, "coarse").agg(F.count("*").alias("count"), F.sum("p").alias("p")), "coarse")
+        first = cut(coarse, "coarse", coarse.groupBy(*group).agg(F.round(F.sum("p")).cast("long").alias("n")))
+        fine = materialise(all_.join(F.broadcast(first), group).where("coarse = coarse_cut").groupBy(*group, "fine", "n").count(), "fine")
+        second = cut(fine.drop("n"), "fine", fine.select(*group, "n").distinct())
+        edge = all_.join(F.broadcast(second), group).where("fine = fine_cut")  # one cell in 2**20 of each source
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("odds", "id"))
+        last = materialise(edge.withColumn("place", place).where("place <= n").groupBy(*group).agg(F.max(F.struct("odds", "id")).alias("last")), "last")
+        won = F.coalesce((F.col("p") > 0) & (F.struct("odds", "id") <= F.col("last")), F.lit(False))
+        out = all_.join(F.broadcast(last), group, "left").withColumn("copies", (F.col("whole") + won.cast("long")).cast("long"))
         return out.where("copies > 0").select(*group, "id", "size", "copies")
 
     def report(self) -> DataFrame:
-        """(mix_name, tab, source, available, target, actual, actual_share, short) for each listed source."""
+        """(mix_name, tab, source, available, target, actual, actual_share, short) for each listed source.
+
+        A source falls short if the mix uses each of its records as often as
+        it may and their size is still under the target.
+        """
         used = self.draw().groupBy("mix_name", "tab", "source").agg(F.sum(F.col("size") * F.col("copies")).cast("double").alias("actual"))
-        out = self.plan.join(F.broadcast(used), ["mix_name", "tab", "source"], "left").withColumn("actual", F.coalesce("actual", F.lit(0.0)))
-        share = F.col("actual") / F.nullif(F.sum("actual").over(Window.partitionBy("mix_name")), F.lit(0.0))  # a row per listed source
-        return out.withColumn("actual_share", F.round(share, 9)).select("mix_name", "tab", "source", "available", "target", "actual", "actual_share", "short")
+        out = self.plan.join(F.broadcast(used), ["mix_name", "tab", "source"], "left").withColumn("actual", F.coalesce("actual", F.lit(0.0)))  # a row per listed source
+        share = F.col("actual") / F.nullif(F.sum("actual").over(Window.partitionBy("mix_name")), F.lit(0.0))
+        short = (F.col("actual") >= F.col("cap") * F.col("available")) & (F.col("actual") < F.col("target") * (1 - 1e-12))
+        return out.withColumn("actual_share", F.round(share, 9)).withColumn("short", short).select("mix_name", "tab", "source", "available", "target", "actual", "actual_share", "short")
