@@ -3,6 +3,12 @@
 Hierarchical residual packing: groups of items are packed locally by best fit
 in descending order, nearly full containers are final, and the underfull ones
 climb a tree as items and are packed again by best fit, until one node is left.
+
+What climbs is bounded without loss. Best fit leaves at most one container of a
+node that is half full or less (a second one would have been put into the
+first), and two that are more than half full never go together. So a node meets
+at most FAN_IN containers that move, and of the hosts with the same fill no more
+than FAN_IN a level can ever be wanted; further ones are final where they are.
 """
 
 from __future__ import annotations
@@ -23,8 +29,6 @@ from lexiloom.session import materialise
 NEARLY_FULL = 0.98
 FAN_IN = 8
 ITEMS_A_GROUP = 100_000
-#: Underfull containers that a node hands up, per spec: those with the most room; the rest is final there. Bounds a node's work, drops no item.
-CLIMB = 20_000
 
 
 @cache
@@ -88,8 +92,10 @@ def pack(items: DataFrame, specs: list[tuple[int, str, int]]) -> DataFrame:
     table = spark.createDataFrame([(int(a), str(b), int(c)) for a, b, c in specs], "spec_id long, tokenizer string, capacity long")
     items = items.groupBy("key", "tokenizer").agg(F.max("size").alias("size"))
     items = materialise(items, "sizes")
-    count = items.count() * max(1, len(specs))
-    groups = max(1, -(-count // ITEMS_A_GROUP))
+    groups = max(1, -(-items.count() // ITEMS_A_GROUP))
+    levels, nodes = 0, groups
+    while nodes > 1:
+        nodes, levels = -(-nodes // FAN_IN), levels + 1
     pieces = (
         items.join(F.broadcast(table), "tokenizer")  # one row per spec of the caller
         .withColumn("full", F.floor(F.col("size") / F.col("capacity")))
@@ -99,43 +105,37 @@ def pack(items: DataFrame, specs: list[tuple[int, str, int]]) -> DataFrame:
         .select("spec_id", "capacity", F.col("key"), F.col("piece").cast("long").alias("piece"), "size", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("node"))
     )
 
+    def climbs(fill: np.ndarray, capacity: int, left: int) -> np.ndarray:
+        """Which containers go up, with so many levels left."""
+        go = fill < NEARLY_FULL * capacity
+        host = pd.Series(fill[go])
+        go[go] = (host.groupby(host).cumcount() < FAN_IN * left) | (2 * host <= capacity)
+        return go
+
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in pdf.groupby("spec_id"):
-            g = g.sort_values(["size", "key", "piece"], ascending=[False, True, True])
-            cap = int(g["capacity"].iloc[0])
-            where, fill = best_fit(g["size"].to_numpy(), cap)
-            out.append(g.assign(bin=(np.int64(g["node"].iloc[0]) << np.int64(32)) + where, fill=fill[where]))
-        return pd.concat(out)[["spec_id", "capacity", "key", "piece", "size", "node", "bin", "fill"]]
-
-    packed = pieces.groupBy("node").applyInPandas(local, "spec_id long, capacity long, key long, piece long, size long, node long, bin long, fill long")
+        pdf = pdf.sort_values(["size", "key", "piece"], ascending=[False, True, True])
+        cap = int(pdf["capacity"].iloc[0])
+        where, fill = best_fit(pdf["size"].to_numpy(), cap)
+        out = pdf.assign(bin=(np.int64(pdf["node"].iloc[0]) << np.int64(32)) + where, fill=fill[where], up=climbs(fill, cap, levels)[where])
+        return out[["spec_id", "capacity", "key", "piece", "size", "node", "bin", "fill", "up"]]
+
+    packed = pieces.groupBy("node", "spec_id").applyInPandas(local, "spec_id long, capacity long, key long, piece long, size long, node long, bin long, fill long, up boolean")
     packed = materialise(packed, "packed")
-    open_ = packed.select("spec_id", "capacity", "node", "bin", "fill").distinct().where(F.col("fill") < F.lit(NEARLY_FULL) * F.col("capacity"))
+    open_ = packed.where("up").select("spec_id", "capacity", "node", "bin", "fill").distinct()
 
-    def merge(level: int):
+    def merge(left: int):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for _, g in pdf.groupby("spec_id"):
-                g = g.sort_values(["fill", "bin"], ascending=[False, True])
-                # those with the least room go no further if there are too many
-                cap = int(g["capacity"].iloc[0])
-                where, fill = best_fit(g["fill"].to_numpy(), cap)
-                first = g["bin"].to_numpy()[np.unique(where, return_index=True)[1]]
-                go = np.flatnonzero(fill < NEARLY_FULL * cap)
-                go = go[np.argsort(fill[go], kind="stable")][:CLIMB]
-                up = np.zeros(len(fill), bool)
-                up[go] = True
-                out.append(g.assign(parent=first[where], total=fill[where], up=up[where]))
-            return pd.concat(out)[["spec_id", "capacity", "node", "bin", "parent", "total", "up"]]
+            pdf = pdf.sort_values(["fill", "bin"], ascending=[False, True])
+            cap = int(pdf["capacity"].iloc[0])
+            where, fill = best_fit(pdf["fill"].to_numpy(), cap)
+            first = pdf["bin"].to_numpy()[np.unique(where, return_index=True)[1]]
+            return pdf.assign(parent=first[where], total=fill[where], up=climbs(fill, cap, left)[where])[["spec_id", "capacity", "node", "bin", "parent", "total", "up"]]
 
         return run
 
     maps = []
-    nodes, level = groups, 0
-    while nodes > 1:
-        nodes = -(-nodes // FAN_IN)
-        level += 1
-        step = open_.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("node").applyInPandas(merge(level), "spec_id long, capacity long, node long, bin long, parent long, total long, up boolean")
+    for left in range(levels - 1, -1, -1):
+        step = open_.withColumn("node", F.floor(F.col("node") / FAN_IN).cast("long")).groupBy("node", "spec_id").applyInPandas(merge(left), "spec_id long, capacity long, node long, bin long, parent long, total long, up boolean")
         step = materialise(step, "climb")
         maps.append(step.where("bin <> parent").select("spec_id", "bin", "parent"))
         open_ = step.where("up").select("spec_id", "capacity", "node", F.col("parent").alias("bin"), F.col("total").alias("fill")).distinct()

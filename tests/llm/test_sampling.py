@@ -115,6 +115,22 @@ def test_pack_keeps_every_token(spark, monkeypatch, group):
     assert pack(spark.createDataFrame([], "key long, tokenizer string, size long"), specs).count() == 0
 
 
+def test_hosts_that_stay_behind_are_never_wanted(spark, monkeypatch):
+    import lexiloom.llm.packing as P
+
+    monkeypatch.setattr(P, "ITEMS_A_GROUP", 30)
+    monkeypatch.setattr(P, "FAN_IN", 2)
+    rng = np.random.default_rng(9)
+    # most containers are two thirds full, whatever the node: a few fillers from anywhere must still find one
+    sizes = [40] * 900 + rng.integers(1, 20, 40).tolist()
+    rows = [(i, "t", int(s)) for i, s in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "key long, tokenizer string, size long")
+    few = pack(df, [(1, "t", 64)]).select("container_id").distinct().count()
+    assert few == 900
+    small = spark.createDataFrame([(i, "t", 1) for i in range(1000)] + [(2000 + i, "t", 33) for i in range(100)], "key long, tokenizer string, size long")
+    assert pack(small, [(1, "t", 64)]).select("container_id").distinct().count() <= 101
+
+
 def test_shortfall_is_made_up(spark):
     from lexiloom.llm.cube import fill
 
