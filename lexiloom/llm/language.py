@@ -48,13 +48,14 @@ def guess(text: str) -> str | None:
 
 
 class LanguageModel:
-    """Multinomial naive Bayes over character trigrams, uniform prior."""
+    """Multinomial naive Bayes over character trigrams, uniform prior. ``counted``: trigrams (``grams``) of further languages."""
 
-    def __init__(self, texts: list[tuple[str, str]], floor: float = 0.1):
+    def __init__(self, texts: list[tuple[str, str]], counted: dict[str, Counter] | None = None, floor: float = 0.1):
         counts: dict[str, Counter] = defaultdict(Counter)
         for text, code in texts:
-            keys, _ = self._keys([text])
-            counts[code].update(keys.tolist())
+            counts[code].update(self.grams_of(text).tolist())
+        for code, more in (counted or {}).items():
+            counts[code].update(more)
         self.codes = sorted(counts)
         self.grams = np.array(sorted({g for c in counts.values() for g in c}), np.int64)
         table = np.full((len(self.grams) + 1, max(1, len(self.codes))), floor)
@@ -63,6 +64,11 @@ class LanguageModel:
             table[np.searchsorted(self.grams, found[:, 0]), j] += found[:, 1]
         self.table = np.log(table / table.sum(axis=0))
 
+    @classmethod
+    def grams_of(cls, text: str) -> np.ndarray:
+        """The trigrams of a text."""
+        return cls._keys([text])[0]
+
     @staticmethod
     def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The trigrams of all texts and where those of each text begin; letters only, runs of all else as a blank."""

@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.bags import _cell, _wanted, mix
 from lexiloom.llm.language import LanguageModel, asked, guess
+from lexiloom.llm.tables import drawn
 from lexiloom.session import materialise
 
-#: Rows drawn by hash order from either table, and texts per language of them, on which the language model is fitted.
-TRAINING_ROWS, TRAINING_TEXTS = 4_000, 300
+#: Labelled rows drawn by hash order, and texts per language of them, on which the language model is fitted.
+TRAINING_ROWS, TRAINING_TEXTS = 4_000, 600
 #: Least log-odds by which a text must belong to its language rather than the other text's.
 MARGIN = 6.0
 #: A text whose last n-gram ends a line less often than this breaks off; so does one whose last sentence, seen elsewhere, ends there less often than the other.
@@ -171,19 +172,29 @@ class PairDefects:
         self.model = self._fit(labelled, text, lang, label_key)
 
     def _fit(self, labelled: DataFrame, text: str, lang: str, label_key: str) -> LanguageModel:
+        """Fitted on labelled texts; languages without any on the trigrams of all pairs' texts that function words assign to them."""
         code = F.substring(F.lower(F.trim(lang)), 1, 2)
-        a = labelled.where(F.col(text).isNotNull() & F.length(F.trim(lang)).between(2, 5) & (code != "un")).select(F.col(text).alias("t"), code.alias("code"), F.xxhash64(label_key).alias("h"))
-        b = self.pairs.select("p", "r", F.xxhash64("id").alias("h"))
-        found = [(r["t"], r["code"]) for r in a.orderBy("h", "t").limit(TRAINING_ROWS).collect()]  # at most TRAINING_ROWS
-        for r in b.orderBy("h", "p", "r").limit(TRAINING_ROWS).collect():
-            found += [(t, guess(t)) for t in (r["p"], r["r"]) if t]
+        rows = labelled.where(F.col(text).isNotNull() & F.length(F.trim(lang)).between(2, 5) & (code != "un")).select(F.col(text).alias("t"), code.alias("code"), F.col(label_key).alias("k"))
         taken: Counter = Counter()
         out = []
-        for t, c in found:
-            if c and taken[c] < 2 * TRAINING_TEXTS:
-                taken[c] += 1
-                out.append((t, c))
-        return LanguageModel(out)
+        for r in drawn(rows, "k", TRAINING_ROWS):
+            if taken[r["code"]] < TRAINING_TEXTS:
+                taken[r["code"]] += 1
+                out.append((r["t"], r["code"]))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                total: Counter = Counter()
+                for t in (*b.column(0).to_pylist(), *b.column(1).to_pylist()):
+                    c = guess(t) if t else None
+                    if c and c not in taken:
+                        total.update((c, g) for g in LanguageModel.grams_of(t).tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in total], pa.string()), pa.array([g for _, g in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["code", "gram", "n"])
+
+        counted: dict[str, Counter] = {}
+        for r in self.pairs.select("p", "r").mapInArrow(count, "code string, gram long, n long").groupBy("code", "gram").agg(F.sum("n").alias("n")).collect():  # the trigrams of a few alphabets
+            counted.setdefault(r["code"], Counter())[r["gram"]] = r["n"]
+        return LanguageModel(out, counted)
 
     def _endings(self, wanted) -> DataFrame:
         """(context, seen, ends, lines, dots): how often each n-gram (and beginning of a sentence) of all distinct responses is seen, ends a text, ends a line within one, and goes on with a full stop. ``wanted``: a bitmap of the contexts asked for."""
