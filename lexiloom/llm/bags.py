@@ -28,6 +28,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -36,9 +37,11 @@ from pyspark.sql import functions as F
 from lexiloom.session import materialise
 
 WORDS = re.compile(r"[^\W_]+")
-SKETCH_BITS = 20
+#: Cells of the frequency sketch: at least and at most 2**these, in between one for every TOKENS_A_CELL tokens.
+SKETCH_BITS, MOST_SKETCH_BITS, TOKENS_A_CELL = 20, 24, 64
 MARK_BITS = 25
-HOT = 50_000
+#: Members of a region from which on it is cut into blocks, and copies of a bag from which on they are joined in parts.
+HOT, COPIES = 50_000, 2_000
 #: Rows of a region from which on it is compared in strips, pairs of a strip, and the length from which on it is not known exactly.
 SMALL, STRIP, UNKNOWN = 24, 2**15, 2**20 - 1
 RATIO = 1.75
@@ -160,37 +163,66 @@ def regions(n: np.ndarray, token: np.ndarray, salt: np.ndarray, least: int, t: f
         yield docs, visit[docs], region, matter, odd.astype(np.uint8)
 
 
-def _frequency(table: DataFrame, least: int, t: float) -> tuple[np.ndarray, int]:
-    """Counts of all regions in 2**SKETCH_BITS cells (a bound on each region's size) and their total.
+def _frequency(table: DataFrame, least: int, t: float, bits: int) -> tuple[np.ndarray, int]:
+    """Counts of all regions in 2**bits cells (a bound on each region's size) and their total.
 
-    The array has the same size for any input; each task sends one, they are
-    summed by slice on the executors.
+    Each task sends its cells in slices, those that are sparse without their
+    zeros; they are summed by slice on the executors.
     """
     slices = 64
-    step = 2**SKETCH_BITS // slices
+    step = 2**bits // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(2**SKETCH_BITS, np.int64)
+        cells = np.zeros(2**bits, np.int64)
         for (_, tab), n, token in _read(batches):
             for _, _, region, _, _ in regions(n, token, _salt(tab), least, t):
-                cells += np.bincount((region.ravel() >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([cells[i * step : (i + 1) * step].astype(np.int64).tobytes() for i in range(slices)], pa.binary())], names=["part", "cells"])
+                cells += np.bincount(_sketched(region.ravel(), bits), minlength=len(cells))
+        part, where, what = [], [], []
+        for i, own in enumerate(cells.reshape(slices, step)):
+            at = np.flatnonzero(own)
+            if len(at):
+                part.append(i)
+                where.append(at.astype(np.int32).tobytes() if 2 * len(at) < step else b"")
+                what.append((own[at] if 2 * len(at) < step else own).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(where, pa.binary()), pa.array(what, pa.binary())], names=["part", "cells", "counts"])
 
     def add(key: tuple, pdf):
         total = np.zeros(step, np.int64)
-        for x in pdf["cells"]:
-            total += np.frombuffer(x, np.int64)
-        pdf = pdf.head(1).copy()
-        pdf["cells"] = [total.tobytes()]
-        return pdf
+        for x, y in zip(pdf["cells"], pdf["counts"], strict=True):
+            if len(x):
+                total[np.frombuffer(x, np.int32)] += np.frombuffer(y, np.int64)
+            else:
+                total += np.frombuffer(y, np.int64)
+        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
-    found = table.select("tab", "bag", "n", "words").mapInArrow(count, "part int, cells binary").groupBy("part").applyInPandas(add, "part int, cells binary").collect()
-    cells = np.zeros(2**SKETCH_BITS, np.int64)
+    found = table.select("tab", "bag", "n", "words").mapInArrow(count, "part int, cells binary, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    cells = np.zeros(2**bits, np.int64)
     for r in found:
-        cells[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(bytes(r["cells"]), np.int64)
+        cells[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(bytes(r["counts"]), np.int64)
     return np.minimum(cells, 2**31 - 1).astype(np.int32), int(cells.sum())
 
 
+def _sketched(region: np.ndarray, bits: int) -> np.ndarray:
+    return (region >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _hot(table: DataFrame, cells, least: int, t: float) -> DataFrame | None:
+    """(region, blocks) of the regions with more than HOT members, counted exactly; None if the sketch rules them out."""
+    if not (cells.value > HOT).any():
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = cells.value
+        for (_, tab), n, token in _read(batches):
+            for _, _, region, matter, _ in regions(n, token, _salt(tab), least, t):
+                _, key, bound = _chosen(region, matter, count)
+                key, times = np.unique(key[bound > HOT], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times)], names=["region", "n"])
+
+    found = table.select("tab", "bag", "n", "words").mapInArrow(run, "region long, n long").groupBy("region").agg(F.sum("n").alias("n"))
+    return materialise(found.where(F.col("n") > HOT).select("region", F.ceil(F.col("n") / HOT).cast("int").alias("blocks")), "hot")
+
+
 def _salt(tab: np.ndarray) -> np.ndarray:
     return mix(tab.astype(np.uint64) + np.uint64(77))
 
@@ -215,7 +247,7 @@ def _read(batches: Iterator[pa.RecordBatch], extra: tuple[str, ...] = ()) -> Ite
 
 def _chosen(region: np.ndarray, matter: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the regions that matter: the least crowded, by one total order. (text, region, bound of its size)."""
-    often = count[(region >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    often = count[_sketched(region, len(count).bit_length() - 1)]
     rank = (np.minimum(often, 2**24 - 1).astype(np.uint64) << np.uint64(40)) | (region >> np.uint64(24))
     order = np.argsort(rank, axis=1)
     r, c = np.nonzero(np.arange(region.shape[1])[None, :] < matter[:, None])
@@ -258,10 +290,10 @@ def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
         on = None if marks is None else np.unpackbits(marks.value).astype(bool)
         for (bag, tab, role), n, token in _read(batches, ("role",)):
             for docs, visit, region, matter, odd in regions(n, token, _salt(tab), least, t):
-                r, key, k = _chosen(region, matter, count)
+                r, key, _ = _chosen(region, matter, count)
                 if on is not None:
                     hit = (role[docs[r]] != 1) | (on[(key >> np.uint64(64 - MARK_BITS)).astype(np.int64)] if len(on) else False)
-                    r, key, k = r[hit], key[hit], k[hit]
+                    r, key = r[hit], key[hit]
                 packed = np.packbits(odd, axis=1, bitorder="little")
                 flags = (np.minimum(n[docs], UNKNOWN) << 3 | np.where(visit, 4, 0) | (role[docs] & 3)).astype(np.uint64)
                 small = odd.shape[1] == 104
@@ -272,18 +304,6 @@ def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
                     second = tail.view(np.uint64)[:, 0] << np.uint64(24) | flags
                 else:
                     second = flags
-                # crowded regions are cut into blocks; every pair of blocks meets in a region of its own
-                blocks = -(-k.astype(np.int64) // HOT)
-                hot = blocks > 1
-                rows, keys = [r[~hot]], [key[~hot]]
-                for s in np.unique(blocks[hot]):
-                    one = blocks == s
-                    mineb = (mix(bag[docs[r[one]]].view(np.uint64) + _M1) % np.uint64(s)).astype(np.uint64)
-                    for j in range(int(s)):
-                        lo, hi = np.minimum(mineb, np.uint64(j)), np.maximum(mineb, np.uint64(j))
-                        rows.append(r[one])
-                        keys.append(mix(key[one] + lo * _M1 + hi * _M2 + np.uint64(s)))
-                r, key = np.concatenate(rows), np.concatenate(keys)
                 rest = pa.nulls(len(r), pa.binary()) if small else pa.array([x.tobytes() for x in packed[:, 8:]], pa.binary()).take(pa.array(r))
                 for lo in range(0, len(r), 200_000):
                     s = slice(lo, lo + 200_000)
@@ -295,6 +315,14 @@ def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
     return table.select("tab", "bag", "n", "words", "role").mapInArrow(run, "region long, bag long, head long, tail long, rest binary")
 
 
+def _in_blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Crowded regions are cut into blocks by bag; every two blocks meet in a region of their own."""
+    own = F.pmod(F.xxhash64("bag"), F.col("blocks"))
+    rows = rows.join(hot, "region", "left").withColumn("own", own).withColumn("with", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(F.lit(0)))))
+    region = F.when(F.col("blocks").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with")))
+    return rows.select(region.alias("region"), "bag", "head", "tail", "rest")
+
+
 def _candidates(region: np.ndarray, head: np.ndarray, n: np.ndarray, role: np.ndarray | None, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs of one region that fit in length and in the first word of their sketches.
 
@@ -435,11 +463,13 @@ def alike_bags(table: DataFrame, least: int, t: float, roles: bool = False) -> D
     differ in role is left to the caller. Exact: see the module's head.
     """
     spark = table.sparkSession
-    cells, total = _frequency(table, least, t)
+    tokens = table.agg(F.sum("n")).first()[0] or 0
+    cells, total = _frequency(table, least, t, min(MOST_SKETCH_BITS, max(SKETCH_BITS, (tokens // TOKENS_A_CELL).bit_length())))
     shared = spark.sparkContext.broadcast(cells)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
     marks = spark.sparkContext.broadcast(_marks(table, shared, least, t)) if roles else None
-    pairs = materialise(_meet(_emit(table, shared, least, t, marks), parts, t, roles), "pairs")
+    rows, hot = _emit(table, shared, least, t, marks), _hot(table, shared, least, t)
+    pairs = materialise(_meet(rows if hot is None else _in_blocks(rows, hot), parts, t, roles), "pairs")
 
     wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("bag"))
     bitmap = spark.sparkContext.broadcast(_wanted(wanted.select("bag")))
@@ -464,3 +494,28 @@ def alike_bags(table: DataFrame, least: int, t: float, roles: bool = False) -> D
         both.select("a", "b", F.size(F.array_intersect("wa", "wb")).cast("long").alias("shared"), F.size("wa").cast("long").alias("n_a"), F.size("wb").cast("long").alias("n_b"))
         .where(F.col("shared") >= F.lit(t) * (F.col("n_a") + F.col("n_b") - F.col("shared")) - F.lit(1e-9))
     )
+
+
+class Members:
+    """The records (tab, id, role) behind each bag; bags of many copies in parts, so that no task holds all of them."""
+
+    def __init__(self, table: DataFrame):
+        one = table.select("tab", "bag", "id", "role").distinct()
+        self.crowded = materialise(one.groupBy("bag").agg(F.ceil(F.count("*") / COPIES).cast("int").alias("parts")).where("parts > 1"), "crowded")
+        self.rows = one.join(self.crowded, "bag", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+
+    def of(self, links: DataFrame, side: str, role: int | None = None) -> DataFrame:
+        """``links`` with tab and the id (``side``_id) of every member of the bag in column ``side``."""
+        mine = (self.rows if role is None else self.rows.where(F.col("role") == role)).select(F.col("bag").alias(side), F.col("part").alias("_part"), "tab", F.col("id").alias(f"{side}_id"))
+        many = self.crowded.select(F.col("bag").alias(side), "parts")
+        links = links.join(many, side, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return links.join(mine, [side, "_part"]).drop("_part")
+
+    def copies(self, roles: tuple[int, int] | None = None) -> DataFrame:
+        """(tab, a_id, b_id) of members of the same bag: a_id < b_id, or one of either role."""
+        with_ = self.rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        x = with_ if roles is None else with_.where(F.col("role") == roles[0])
+        y = with_ if roles is None else with_.where(F.col("role") == roles[1])
+        x = x.select("bag", "tab", F.col("id").alias("a_id"), F.col("part").alias("p"), F.col("other").alias("q"))
+        y = y.select("bag", F.col("id").alias("b_id"), F.col("other").alias("p"), F.col("part").alias("q"))
+        return x.join(y, ["bag", "p", "q"]).where("a_id < b_id" if roles is None else "a_id <> b_id").select("tab", "a_id", "b_id")

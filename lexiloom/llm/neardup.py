@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.bags import alike_bags, bag_table
+from lexiloom.llm.bags import Members, alike_bags, bag_table
 from lexiloom.session import materialise
 
 LEAST_WORDS = 30
@@ -40,24 +40,20 @@ class NearDuplicates:
         table = reduce(DataFrame.unionAll, [bag_table(df, key, text, i, least) for i, (_, df, key, text) in enumerate(fields)])
         self.table = materialise(table, "bags")
         self.links = materialise(alike_bags(self.table, least, likeness), "links")
-        self.members = self.table.select("tab", "bag", "id").distinct()
+        self.members = Members(self.table)
 
     def _name(self):
         return F.element_at(F.array(*[F.lit(x) for x in self.names]), F.col("tab") + 1).alias("tab")
 
     def pairs(self) -> DataFrame:
         """(tab, id_a, id_b) of all pairs, copies included."""
-        m = self.members
-        copies = m.alias("x").join(m.alias("y"), (F.col("x.bag") == F.col("y.bag")) & (F.col("x.id") < F.col("y.id"))).select("x.tab", F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
-        x = m.select(F.col("tab"), F.col("bag").alias("a"), F.col("id").alias("i"))
-        y = m.select(F.col("bag").alias("b"), F.col("id").alias("j"))
-        near = self.links.select("a", "b").join(x, "a").join(y, "b").where(F.col("i") != F.col("j"))
-        near = near.select("tab", F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
-        return copies.unionAll(near).distinct().select(self._name(), "id_a", "id_b")
+        near = self.members.of(self.members.of(self.links.select("a", "b"), "a").drop("tab"), "b").where("a_id <> b_id")
+        near = near.select("tab", F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"))
+        return self.members.copies().toDF("tab", "id_a", "id_b").unionAll(near).distinct().select(self._name(), "id_a", "id_b")
 
     def classes(self) -> DataFrame:
         """(tab, id, class_id, copies, links): each record with its class of equal bags (the least key in it), the size of that class and the number of records elsewhere that are alike."""
-        m = self.members
+        m = self.members.rows.select("tab", "bag", "id")
         size = m.groupBy("bag").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"))
         both = self.links.select("a", "b").unionAll(self.links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         near = both.join(size.select(F.col("bag").alias("b"), F.col("copies").alias("more")), "b").groupBy(F.col("a").alias("bag")).agg(F.sum("more").alias("links"))

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.bags import alike_bags, bag_table
+from lexiloom.llm.bags import Members, alike_bags, bag_table
 from lexiloom.llm.tables import plain
 from lexiloom.session import materialise
 
@@ -42,7 +42,7 @@ class SplitOverlap:
             parts.append(bag_table(df.select(F.col(key).alias("k"), F.col(text).alias("t"), role.alias("r")).where("r is not null"), "k", "t", i, least, "r"))
         self.table = materialise(reduce(DataFrame.unionAll, parts), "bags")
         self.links = materialise(alike_bags(self.table, least, likeness, roles=True), "links")
-        self.members = self.table.select("tab", "bag", "id", "role").distinct()
+        self.members = Members(self.table)
 
     def _name(self):
         return F.element_at(F.array(*[F.lit(f[0]) for f in self.fields]), F.col("tab") + 1)
@@ -50,16 +50,17 @@ class SplitOverlap:
     def hits(self) -> DataFrame:
         """(tab, train_id, eval_id, containment, likeness) of all overlaps."""
         m = self.members
-        train = m.where("role = 1").select("tab", F.col("bag").alias("a"), F.col("id").alias("train_id"))
-        other = m.where("role = 2").select(F.col("bag").alias("b"), F.col("id").alias("eval_id"))
-        same = train.join(other, train["a"] == other["b"]).select("tab", "train_id", "eval_id", F.lit(1.0).alias("containment"), F.lit(1.0).alias("likeness"))
-        like = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
-        ab = self.links.select("a", "b", (F.col("shared") / F.col("n_b")).alias("containment"), like.alias("likeness"))
-        ba = self.links.select(F.col("b").alias("a"), F.col("a").alias("b"), (F.col("shared") / F.col("n_a")).alias("containment"), like.alias("likeness"))
-        near = ab.unionAll(ba).join(train, "a").join(other, "b").select("tab", "train_id", "eval_id", "containment", "likeness")
-        both = same.unionAll(near).where("train_id <> eval_id")
+        same = m.copies((1, 2)).select("tab", F.col("a_id").alias("train_id"), F.col("b_id").alias("eval_id"), F.lit(1.0).alias("containment"), F.lit(1.0).alias("likeness"))
+        near = m.of(m.of(self._links(), "train", 1).drop("tab"), "eval", 2).where("train_id <> eval_id")
+        both = same.unionAll(near.select("tab", "train_id", "eval_id", "containment", "likeness"))
         return both.groupBy("tab", "train_id", "eval_id").agg(F.max("containment").alias("containment"), F.max("likeness").alias("likeness")).withColumn("tab", self._name())
 
+    def _links(self) -> DataFrame:
+        """(train, eval, containment, likeness): alike bags in either direction; containment of the second in the first."""
+        like = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
+        ab = self.links.select(F.col("a").alias("train"), F.col("b").alias("eval"), (F.col("shared") / F.col("n_b")).alias("containment"), like.alias("likeness"))
+        return ab.unionAll(self.links.select(F.col("b").alias("train"), F.col("a").alias("eval"), (F.col("shared") / F.col("n_a")).alias("containment"), like.alias("likeness")))
+
     def pairs(self) -> DataFrame:
         """(tab, id_a, id_b), the smaller key first."""
         return self.hits().select("tab", F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b")).distinct()
@@ -70,5 +71,9 @@ class SplitOverlap:
         for name, df, key, _, split, source in self.fields:
             rows.append(df.select(F.lit(name).alias("tab"), F.col(key).cast("long").alias("eval_id"), plain(split).alias("split"), (plain(source) if source else F.lit(None).cast("string")).alias("source")))
         every = reduce(DataFrame.unionAll, rows).where("eval_id is not null and split in ('test', 'validation')").distinct()
-        hit = self.hits().select("tab", "eval_id").distinct().withColumn("hit", F.lit(1))
+        # by bags, not by pairs of records: of each training bag the least and the greatest key are enough to tell another record from the same one
+        m = self.members.rows
+        bags_ = m.where("role = 1").groupBy("bag").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        near = self._links().select(F.col("train").alias("bag"), "eval").unionAll(bags_.select("bag", F.col("bag").alias("eval"))).join(bags_, "bag").groupBy(F.col("eval").alias("bag")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        hit = m.where("role = 2").join(near, "bag").where("low <> id or high <> id").select("tab", F.col("id").alias("eval_id")).distinct().withColumn("tab", self._name()).withColumn("hit", F.lit(1))
         return every.join(hit, ["tab", "eval_id"], "left").groupBy("tab", "split", "source").agg(F.countDistinct("eval_id").alias("records"), F.countDistinct(F.when(F.col("hit") == 1, F.col("eval_id"))).alias("overlapping"))

@@ -50,6 +50,7 @@ def alike(rows: list[tuple[int, str | None]], t: float = 0.75) -> set[tuple[int,
 @pytest.mark.parametrize(("seed", "hot"), [(1, 50_000), (2, 8)])
 def test_near_duplicates_lose_no_pair(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(bags, "HOT", hot)  # with 8, crowded regions are cut into blocks
+    monkeypatch.setattr(bags, "COPIES", 1 if hot == 8 else 2_000)  # with 1, copies are joined in parts
     rows = corpus(seed)
     df = spark.createDataFrame([(k, x, "other") for k, x in rows], "id long, text string, bag string")  # a clashing extra column
     found = NearDuplicates([("a", df, "id", "text"), ("b", df.limit(0), "id", "text")])
@@ -70,7 +71,9 @@ def test_empty_tables(spark):
     assert o.pairs().count() == 0 and o.report().count() == 0
 
 
-def test_overlaps_across_splits(spark):
+@pytest.mark.parametrize("copies", [2_000, 1])
+def test_overlaps_across_splits(spark, monkeypatch, copies):
+    monkeypatch.setattr(bags, "COPIES", copies)
     rows = corpus(3)
     rnd = random.Random(9)
     split = {k: rnd.choice(["train", " Train", "test ", "VALIDATION", "unused", None]) for k, _ in rows}
