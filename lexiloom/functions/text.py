@@ -81,14 +81,15 @@ def to_width(x: Column | str, n: int) -> Column:
 
 
 def to_words(x: Column | str, n: int, pad: str = "<pad>") -> Column:
-    """The first n words joined by blanks, or the text with as many padding words as are missing."""
-    c, w = _c(x), words(x)
-    return F.when(F.size(w) > n, F.array_join(F.slice(w, 1, n), " ")).otherwise(F.concat(c, F.repeat(F.lit(" " + pad), F.lit(n) - F.size(w))))
+    """The first n parts between single blanks, joined by blanks; a text of fewer gets as many padding words right behind it, without blanks."""
+    c, w = _c(x), blank_parts(x)
+    return F.when(F.size(w) >= n, F.array_join(F.slice(w, 1, n), " ")).otherwise(F.concat(c, F.repeat(F.lit(pad), F.lit(n) - F.size(w))))
 
 
 def basic_tokens(x: Column | str) -> Column:
-    """Lower-case words and single marks."""
-    return F.regexp_extract_all(F.lower(_c(x)), F.lit(r"([a-z0-9]+|[.,!?()':;])"), 1)
+    """In lower case, split at white space after . , ( ) ! ? and ' are set apart; double quotes, semicolons, colons and line-break tags are dropped."""
+    c = F.replace(F.replace(F.lower(_c(x)), F.lit("<br />"), F.lit(" ")), F.lit('"'), F.lit(""))
+    return words(F.regexp_replace(F.regexp_replace(c, "[;:]", " "), r"([.,()!?'])", r" $1 "))
 
 
 def prompt(template: str, *parts: Column | str) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vocabularies up to this many entries are ranked in one task; their size is capped by ``size``.
+#: Entries of a vocabulary that is looked up in memory.
+IN_MEMORY = 1_000_000
 SPECIALS = ("<unk>",)
 
 
@@ -19,12 +20,37 @@ def vocabulary(tokens: DataFrame, token: str, size: int, specials: tuple[str, ..
 
 
 def encode(docs: DataFrame, key: str, tokens: str, vocab: DataFrame, unknown: int = 0) -> DataFrame:
-    """(key, ids): token ids in order, unknown ones as ``unknown``; documents without tokens keep an empty list."""
+    """(key, ids): token ids in order, unknown ones as ``unknown``; documents without tokens keep an empty list.
+
+    A vocabulary of up to IN_MEMORY entries is looked up in Arrow batches where
+    the documents are, without a shuffle; a larger one is joined.
+    """
+    known = vocab.select("token", "id").limit(IN_MEMORY + 1).collect()
+    if len(known) <= IN_MEMORY:
+        return _looked_up(docs, key, tokens, {r["token"]: r["id"] for r in known}, unknown)
     flat = docs.select(key, F.posexplode(tokens).alias("pos", "token")).join(vocab.select("token", "id"), "token", "left")
     ids = flat.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")))).alias("x"))  # one document's tokens
     return docs.select(key).join(ids, key, "left").select(key, F.coalesce(F.col("x.id"), F.array().cast("array<long>")).alias("ids"))
 
 
+def _looked_up(docs: DataFrame, key: str, tokens: str, ids: dict[str, int], unknown: int) -> DataFrame:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
+        words, numbers = pa.array(list(ids), pa.string()), pa.array([*ids.values(), unknown], pa.int64())
+        for b in batches:
+            lists = b.column(1).cast(pa.list_(pa.string()))
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=words, skip_nulls=True), len(words))
+            size = pc.fill_null(pc.list_value_length(lists), 0)
+            ends = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(size)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends.cast(pa.int32()), numbers.take(at))], names=[key, "ids"])
+
+    from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+
+    return docs.select(key, tokens).mapInArrow(run, StructType([docs.schema[key], StructField("ids", ArrayType(LongType()))]))
+
+
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, glue: str = " ") -> DataFrame:
     flat = df.select(key, F.posexplode(ids).alias("pos", "id")).join(vocab.select("id", "token"), "id", "left")
     return flat.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("")).alias("t")))), lambda z: z["t"]), glue).alias("text"))

@@ -76,9 +76,32 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def stratified(df: DataFrame, key: str, label: str, share: float, seed: int = 0) -> DataFrame:
-    """Adds ``held``: the first floor(share x n) rows of each label in hash order."""
-    w = Window.partitionBy(label)
-    return df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(hashed_order(key, seed), key))).withColumn("held", F.col("_r") <= F.floor(F.col("_n") * share)).drop("_n", "_r")
+    """Adds ``held``: the first floor(share x n) rows of each label in hash order; null is a label.
+
+    Counts per label and cell of the hash (65536 cells) tell which cells are
+    held whole; rows are ranked only within their cell, so a crowded label is
+    never in one task.
+    """
+    h = hashed_order(key, seed)
+    rows = df.withColumn("_h", h).withColumn("_c", F.conv(F.substring(h, 1, 4), 16, 10).cast("int"))
+    cells = rows.groupBy(F.col(label).alias("_l"), F.col("_c").alias("_k")).count()
+    w = Window.partitionBy("_l")
+    upto = F.sum("count").over(w.orderBy("_k")) - F.col("count")
+    cells = cells.select("_l", "_k", (F.floor(F.sum("count").over(w) * share) - upto).alias("_q"))
+    rank = F.row_number().over(Window.partitionBy(label, "_c").orderBy("_h", key))
+    return rows.join(cells, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_c") == F.col("_k"))).withColumn("held", rank <= F.col("_q")).drop("_h", "_c", "_l", "_k", "_q")
+
+
+def group_rank(df: DataFrame, by: list[str], key: str, name: str, *ties: str) -> DataFrame:
+    """Adds the number of each row within its group, from 0, in the order of an integer key; a crowded group is numbered by ranges of the key."""
+    df = df.withColumn("_b", F.floor(F.col(key) / BUCKET))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = df.groupBy(*by, "_b").count().select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_b").alias("_k"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    on = F.col("_b") == F.col("_k")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rank = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(key, *ties))
+    return df.join(base, on).withColumn(name, (F.col("_base") + rank - 1).cast("long")).drop("_b", "_k", "_base", *[f"_{c}" for c in by])
 
 
 def few_shot(df: DataFrame, key: str, label: str, k: int, seed: int = 0) -> DataFrame:

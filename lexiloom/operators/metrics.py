@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranges that values are ranked in.
+RANGES = 4_096
+
 
 def report(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """(label, precision, recall, f1, support) for each class and the macro and weighted averages; 0 where undefined. One shuffle on the pairs (gold, pred)."""
@@ -31,11 +34,24 @@ def micro(df: DataFrame, gold: str, pred: str) -> DataFrame:
     return c.select("precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"))
 
 
+def average_ranks(df: DataFrame, value: str, *more) -> DataFrame:
+    """(value, n, rank, *more): the average rank of each distinct number, from 1."""
+    per = df.groupBy(F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"), *more)
+    ends = per.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    per = per.crossJoin(F.broadcast(ends)).withColumn("_b", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * RANGES), F.lit(0)))  # one row
+    before = F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    base = per.groupBy("_b").agg(F.sum("n").alias("n")).select("_b", F.coalesce(before, F.lit(0)).alias("_base"))  # a row per range
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.withColumn("_in", inner).join(F.broadcast(base), "_b").withColumn("rank", F.col("_base") + F.col("_in") + (F.col("n") + 1) / 2).drop("_b", "_lo", "_hi", "_in", "_base")
+
+
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """(auc): area under the ROC curve by rank sums, ties at their average rank. Ranks are running totals over distinct scores."""
-    per = df.groupBy(score).agg(F.count_if(F.col(label)).alias("pos"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = per.withColumn("rank", before + (F.col("n") + 1) / 2)
+    """(auc): area under the ROC curve by rank sums, ties at their average rank; null scores take no part.
+
+    Ranks are running totals over distinct scores: totals of ranges of the
+    score first, then within each range.
+    """
+    r = average_ranks(df.where(F.col(score).isNotNull()), score, F.count_if(F.col(label)).alias("pos"))
     return r.agg(((F.sum(F.col("rank") * F.col("pos")) - F.sum("pos") * (F.sum("pos") + 1) / 2) / (F.sum("pos") * (F.sum("n") - F.sum("pos")))).alias("auc"))
 
 

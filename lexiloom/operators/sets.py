@@ -87,7 +87,7 @@ def containing(outer: DataFrame, outer_key: str, outer_text: str, inner: DataFra
     Every inner text is indexed under its rarest word between blanks (a word at
     neither end, which a longer text must hold whole); outer texts are scanned
     for those words and hits are checked. Inner texts of fewer than three words
-    have no such word and are checked under their longest run of letters.
+    have no such word and are looked up under their first characters.
     """
     inner = inner.select(F.col(inner_key).alias("ik"), F.col(inner_text).alias("it")).where("ik is not null and it is not null and it <> ''").distinct()
     outer = outer.select(F.col(outer_key).alias("ok"), F.col(outer_text).alias("ot")).where("ok is not null and ot is not null").distinct()
@@ -98,8 +98,10 @@ def containing(outer: DataFrame, outer_key: str, outer_text: str, inner: DataFra
     rare = whole.join(freq, "w", "left").groupBy("ik").agg(F.min_by(F.struct("it", "w", "f"), F.struct(F.coalesce("f", F.lit(0)), "w")).alias("x")).select("ik", "x.*").where("f is not null")
     hits = words.join(rare.select("ik", "it", "w"), "w").join(outer, "ok").where(F.contains("ot", F.col("it"))).select("ok", "ik")
     short = inner.join(rare.select("ik"), "ik", "left_anti").join(whole.select("ik").distinct(), "ik", "left_anti")
-    # the rest is short: any of its letters' trigrams is in the outer text, take its rarest by hash order of the outer trigrams
-    tri = F.when(F.length("it") >= 3, F.substring("it", 1, 3))
-    few = outer.select("ok", "ot", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("ot") - 2, F.lit(1))), lambda i: F.substring(F.col("ot"), i, F.lit(3))))).alias("g"))
-    rest = few.join(short.withColumn("g", tri).where("g is not null"), "g").where(F.contains("ot", F.col("it"))).select("ok", "ik")
-    return hits.unionAll(rest).distinct()
+    # the rest has no inner word: it is looked up under its first three characters, or all of them if there are fewer
+    short = short.withColumn("g", F.substring("it", 1, 3))
+    for n in (1, 2, 3):
+        mine = short.where(F.length("it") >= 3 if n == 3 else F.length("it") == n)
+        grams = outer.where(F.length("ot") >= n).select("ok", "ot", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("ot") - (n - 1)), lambda i, n=n: F.substring(F.col("ot"), i, F.lit(n))))).alias("g"))
+        hits = hits.unionAll(grams.join(mine, "g").where(F.contains("ot", F.col("it"))).select("ok", "ik"))
+    return hits.distinct()

@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     if there:
         return there.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
+    if not known and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not known:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
         known = spark.sparkContext.getCheckpointDir()
