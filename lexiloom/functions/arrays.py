@@ -66,9 +66,12 @@ def sigmoid(x: Column | str) -> Column:
 
 def ngrams(a: Column | str, n: int) -> Column:
     """The n-grams of an array of strings, joined by blanks."""
-    c = _c(a)
-    at = F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(c, i, n), " "))
+    c = F.coalesce(_c(a), F.array().cast("array<string>"))
+    many = F.greatest(F.size(c) - (n - 1), F.lit(0))
+    out = F.slice(c, F.lit(1), many)
+    for k in range(2, n + 1):  # shifted arrays are zipped, so that the array is not computed again for every place
+        out = F.zip_with(out, F.slice(c, F.lit(k), many), lambda x, y: F.concat_ws(" ", x, y))
+    return out
 
 
 def repeat_each(values: Column | str, counts: Column | str) -> Column:

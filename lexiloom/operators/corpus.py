@@ -98,3 +98,58 @@ def cross_validated(df: DataFrame, key: str, folds: int, fit, predict) -> DataFr
         part = predict(fit(df.where(~held)), df.where(held))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def word_grams(tokens, up_to: int):
+    """All n-grams of an array of words from 1 to ``up_to`` words."""
+    from lexiloom.functions.arrays import ngrams
+
+    return F.concat(*[ngrams(tokens, n) for n in range(1, up_to + 1)])
+
+
+def capped_tf_idf(docs: DataFrame, key: str, tokens: str, size: int, up_to: int = 2) -> DataFrame:
+    """(key, term, tf, df, weight) over the ``size`` most frequent n-grams of up to ``up_to`` words, ties in order of the term; the weights of a document have length 1.
+
+    The vocabulary is as small as the caller says, so the join with it is left
+    to the optimizer's size check; all else is one shuffle by document.
+    """
+    grams = docs.select(key, F.explode(word_grams(tokens, up_to)).alias("term"))
+    vocab = vocabulary(grams, "term", size, ()).select(F.col("token").alias("term"))
+    tf = grams.join(vocab, "term").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.select(F.count("*").alias("n"))
+    raw = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("raw", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # n is one row
+    return raw.withColumn("weight", F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).select(key, "term", "tf", "df", "weight")
+
+
+def topic_centres(df: DataFrame, topic: str, vector: str) -> DataFrame:
+    """(topic, n, centre): the mean vector of each topic."""
+    m = df.where(F.col(vector).isNotNull()).select(F.col(topic).alias("topic"), F.posexplode(vector).alias("i", "v")).groupBy("topic", "i").agg(F.avg(F.col("v").cast("double")).alias("m"), F.count("*").alias("n"))
+    return m.groupBy("topic").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("centre"))  # one vector a topic
+
+
+def find_topics(centres: DataFrame, vector: list[float], k: int) -> DataFrame:
+    """(topic, cosine): the k topics nearest to a search vector, ties by topic."""
+    from lexiloom.functions.arrays import cosine
+
+    c = centres.select("topic", cosine("centre", F.array(*[F.lit(float(v)) for v in vector])).alias("cosine"))
+    return c.orderBy(F.desc(F.round("cosine", 12)), "topic").limit(k)
+
+
+def merge_topics(centres: DataFrame, left: int) -> DataFrame:
+    """(topic, merged): the smallest topic joins its most similar one, again and again, until ``left`` are left; ties by topic. The centres are a row per topic, few by nature."""
+    import numpy as np
+
+    rows = sorted(centres.collect(), key=lambda r: r["topic"])
+    size = {r["topic"]: r["n"] for r in rows}
+    centre = {r["topic"]: np.array(r["centre"]) for r in rows}
+    into = {t: t for t in size}
+    while len(size) > left:
+        small = min(size, key=lambda t: (size[t], t))
+        cos = {t: centre[small] @ centre[t] / max(1e-12, np.linalg.norm(centre[small]) * np.linalg.norm(centre[t])) for t in size if t != small}
+        best = min(cos, key=lambda t: (-round(cos[t], 12), t))
+        centre[best] = (centre[best] * size[best] + centre[small] * size[small]) / (size[best] + size[small])
+        size[best] += size.pop(small)
+        into = {t: best if m == small else m for t, m in into.items()}
+    kind = centres.schema["topic"].dataType.simpleString()
+    return centres.sparkSession.createDataFrame(list(into.items()), f"topic {kind}, merged {kind}")

@@ -156,3 +156,20 @@ def early_stop(df: DataFrame, step: str, score: str, patience: int, within: list
     last = F.max(F.when(F.col("_b") == 1, F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     stale = df.withColumn("best", F.max(score).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("stale", (F.col("_n") - last).cast("long"))
     return stale.withColumn("stopped", F.max((F.col("stale") >= patience).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("boolean")).drop("_b", "_n")
+
+
+def permutation(df: DataFrame, key: str, seed: int = 0, name: str = "place") -> DataFrame:
+    """Adds the place of each row, from 0, in a pseudo-random order of a unique key; totals of cells of the hash first, then ranks within each."""
+    h = hashed_order(key, seed)
+    rows = df.withColumn("_h", h).withColumn("_c", F.conv(F.substring(h, 1, 4), 16, 10).cast("int"))
+    before = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(F.col("_c").alias("_k")).count().select("_k", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))  # 65536 rows at most
+    rank = F.row_number().over(Window.partitionBy("_c").orderBy("_h", key))
+    return rows.join(base, F.col("_c") == F.col("_k")).withColumn(name, (F.col("_base") + rank - 1).cast("long")).drop("_h", "_c", "_k", "_base")
+
+
+def shuffle_buffer(df: DataFrame, key: str, size: int, seed: int = 0, name: str = "place") -> DataFrame:
+    """Adds the place of each row after a shuffle within buffers of ``size`` rows in the order of a unique integer key."""
+    rows = row_numbers(df, key, "_n").withColumn("_b", F.floor(F.col("_n") / size))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(hashed_order(key, seed), key))  # one buffer
+    return rows.withColumn(name, (F.col("_b") * size + rank - 1).cast("long")).drop("_n", "_b")

@@ -11,7 +11,7 @@ RANGES = 4_096
 
 
 def report(df: DataFrame, gold: str, pred: str) -> DataFrame:
-    """(label, precision, recall, f1, support) for each class and the macro and weighted averages; 0 where undefined. One shuffle on the pairs (gold, pred)."""
+    """(label, precision, recall, f1, support) for each class and the micro, macro and weighted averages; 0 where undefined. One shuffle on the pairs (gold, pred)."""
     pairs = df.groupBy(F.col(gold).cast("string").alias("g"), F.col(pred).cast("string").alias("p")).count()
     ones = pairs.select(F.col("g").alias("label"), "count", F.lit(1).alias("gold"), (F.col("g") == F.col("p")).cast("int").alias("hit"), F.lit(0).alias("said")).unionAll(pairs.select(F.col("p"), "count", F.lit(0), F.lit(0), F.lit(1)))
     s = ones.where("label is not null").groupBy("label").agg(*[F.sum(F.col("count") * F.coalesce(c, F.lit(0))).alias(c) for c in ("gold", "hit", "said")])
@@ -21,7 +21,8 @@ def report(df: DataFrame, gold: str, pred: str) -> DataFrame:
     each = s.select("label", "precision", "recall", "f1", F.col("gold").cast("long").alias("support"))
     macro = s.agg(F.lit("macro avg").alias("label"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.sum("gold").cast("long").alias("support"))
     weighted = s.agg(F.lit("weighted avg").alias("label"), *[(F.sum(F.col(c) * F.col("gold")) / F.sum("gold")).alias(c) for c in ("precision", "recall", "f1")], F.sum("gold").cast("long").alias("support"))
-    return each.unionAll(macro).unionAll(weighted)
+    one = s.agg(F.lit("micro avg").alias("label"), ratio(F.sum("hit"), F.sum("said")).alias("precision"), ratio(F.sum("hit"), F.sum("gold")).alias("recall"), ratio(2 * F.sum("hit"), F.sum("said") + F.sum("gold")).alias("f1"), F.sum("gold").cast("long").alias("support"))
+    return each.unionAll(one).unionAll(macro).unionAll(weighted)
 
 
 def micro(df: DataFrame, gold: str, pred: str) -> DataFrame:
@@ -38,11 +39,11 @@ def average_ranks(df: DataFrame, value: str, *more) -> DataFrame:
     """(value, n, rank, *more): the average rank of each distinct number, from 1."""
     per = df.groupBy(F.col(value).cast("double").alias(value)).agg(F.count("*").alias("n"), *more)
     ends = per.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    per = per.crossJoin(F.broadcast(ends)).withColumn("_b", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * RANGES), F.lit(0)))  # one row
-    before = F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    base = per.groupBy("_b").agg(F.sum("n").alias("n")).select("_b", F.coalesce(before, F.lit(0)).alias("_base"))  # a row per range
-    inner = F.coalesce(F.sum("n").over(Window.partitionBy("_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("_in", inner).join(F.broadcast(base), "_b").withColumn("rank", F.col("_base") + F.col("_in") + (F.col("n") + 1) / 2).drop("_b", "_lo", "_hi", "_in", "_base")
+    per = per.crossJoin(F.broadcast(ends)).withColumn("_range", F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * RANGES), F.lit(0)))  # one row
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    base = per.groupBy("_range").agg(F.sum("n").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_base"))  # a row per range
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return per.withColumn("_in", inner).join(F.broadcast(base), "_range").withColumn("rank", F.col("_base") + F.col("_in") + (F.col("n") + 1) / 2).drop("_range", "_lo", "_hi", "_in", "_base")
 
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
@@ -114,3 +115,48 @@ def entity_report(gold: DataFrame, pred: DataFrame, keys: list[str]) -> DataFram
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     s = s.withColumn("precision", ratio(F.col("hit"), F.col("said"))).withColumn("recall", ratio(F.col("hit"), F.col("gold")))
     return s.select("kind", "precision", "recall", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")).alias("f1"), F.col("gold").cast("long").alias("support"))
+
+
+def multi_label_report(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """(label, precision, recall, f1, support) of multi-label arrays per label, and the micro and macro averages; nulls are empty, 0 where undefined."""
+    none = F.array().cast("array<string>")
+    flat = lambda c, g, p: df.select(F.explode(F.array_distinct(F.coalesce(c, none))).alias("label"), F.lit(g).alias("g"), F.lit(p).alias("p"), F.lit(0).alias("b"))
+    hit = df.select(F.explode(F.array_intersect(F.coalesce(gold, none), F.coalesce(pred, none))).alias("label"), F.lit(0).alias("g"), F.lit(0).alias("p"), F.lit(1).alias("b"))
+    s = flat(gold, 1, 0).unionAll(flat(pred, 0, 1)).unionAll(hit).where("label is not null").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("g", "p", "b")])
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+
+    def scored(x: DataFrame) -> DataFrame:
+        x = x.withColumn("precision", ratio(F.col("b"), F.col("p"))).withColumn("recall", ratio(F.col("b"), F.col("g")))
+        return x.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+    each = scored(s)
+    micro_ = scored(s.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("g", "p", "b")]).withColumn("label", F.lit("micro avg")))
+    macro = each.agg(F.lit("macro avg").alias("label"), *[F.avg(c).alias(c) for c in ("precision", "recall", "f1")], F.coalesce(F.sum("g"), F.lit(0)).alias("g"))
+    out = ["label", "precision", "recall", "f1", F.col("g").cast("long").alias("support")]
+    return each.select(*out).unionAll(micro_.select(*out)).unionAll(macro.select(*out))
+
+
+def subset_accuracy(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """(subset_accuracy): the share of rows whose sets of labels are equal."""
+    none = F.array().cast("array<string>")
+    s = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    return df.agg(F.avg(F.when(s(gold) == s(pred), 1.0).otherwise(0.0)).alias("subset_accuracy"))
+
+
+def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(spearman): the correlation of average ranks; rows with a null take no part."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+    ra, rb = (average_ranks(rows, c).select(c, F.col("rank").alias(f"{c}r")) for c in ("_a", "_b"))
+    pairs = rows.groupBy("_a", "_b").count().join(ra, "_a").join(rb, "_b")
+    n, x, y = F.col("count"), F.col("_ar"), F.col("_br")
+    s = pairs.agg(F.sum(n).alias("n"), F.sum(n * x).alias("x"), F.sum(n * y).alias("y"), F.sum(n * x * y).alias("xy"), F.sum(n * x * x).alias("xx"), F.sum(n * y * y).alias("yy"))
+    top = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    return s.select((top / F.nullif(F.sqrt((F.col("xx") - F.col("x") * F.col("x") / F.col("n")) * (F.col("yy") - F.col("y") * F.col("y") / F.col("n"))), F.lit(0.0))).alias("spearman"))
+
+
+def combined(df: DataFrame, gold: str, pred: str) -> DataFrame:
+    """(metric, value): accuracy and the macro and weighted averages of the report in one frame."""
+    acc = df.agg(F.avg(F.when(F.col(gold) == F.col(pred), 1.0).otherwise(0.0)).alias("value")).select(F.lit("accuracy").alias("metric"), "value")
+    r = report(df, gold, pred).where(F.col("label").isin("macro avg", "weighted avg"))
+    pairs = F.explode(F.create_map(*[x for c in ("precision", "recall", "f1") for x in (F.lit(c), F.col(c))])).alias("m", "value")
+    return acc.unionAll(r.select("label", pairs).select(F.concat_ws(" ", F.replace("label", F.lit(" avg"), F.lit("")), "m").alias("metric"), "value"))

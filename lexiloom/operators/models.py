@@ -131,3 +131,55 @@ def generate(model: dict[str, dict[str, int]], start: str, length: int, temperat
             break
         out += rnd.choices(list(options), list(options.values()))[0]
     return out
+
+
+def one_against_rest(train: DataFrame, test: DataFrame, key: str, tokens: str, labels: str, names: list[str], features: int = 5000, threshold: float = 0.5, penalties: tuple[float, ...] = (0.01,), validation: float = 0.2) -> DataFrame:
+    """(key, gold, pred): a logistic model per label on TF-IDF, fitted on ``train`` and applied to ``test``.
+
+    ``labels``: an array of labels; ``names``: those to be learned, few by the
+    caller's choice. Of several penalties the one with the best micro F1 on a
+    held-out part of the training rows (by hash) is taken.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    from lexiloom.functions.text import bucket
+    from lexiloom.operators.metrics import micro
+    from lexiloom.session import materialise
+
+    have = F.coalesce(F.col(labels), F.array().cast("array<string>"))
+    clean = lambda d: d.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_w"), F.array_intersect(F.array(*map(F.lit, names)), have).alias("gold"))
+    train, test = materialise(clean(train), "train"), materialise(clean(test), "test")  # read in every iteration
+
+    def applied(fit_on: DataFrame, to: DataFrame, penalty: float) -> DataFrame:
+        prepared = Pipeline(stages=[HashingTF(inputCol="_w", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_x", minDocFreq=2)]).fit(fit_on)
+        x, out = prepared.transform(fit_on), prepared.transform(to)
+        hit = []
+        for i, name in enumerate(names):
+            y = x.withColumn("_y", F.array_contains("gold", name).cast("double"))
+            model = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=20, regParam=penalty, probabilityCol=f"_p{i}", rawPredictionCol=f"_r{i}", predictionCol=f"_d{i}").fit(y)
+            out = model.transform(out)
+            hit.append(F.when(F.get(vector_to_array(f"_p{i}"), F.lit(1)) >= threshold, F.lit(name)))
+        return out.select(key, "gold", F.filter(F.array(*hit), lambda v: v.isNotNull()).alias("pred"))
+
+    best = penalties[0]
+    if len(penalties) > 1:
+        held = bucket(key, 1000) < int(validation * 1000)
+        scores = {p: micro(applied(train.where(~held), train.where(held), p), "gold", "pred").first()["f1"] for p in penalties}
+        best = max(penalties, key=lambda p: (scores[p], -p))
+    return applied(train, test, best)
+
+
+def fold_probabilities(df: DataFrame, key: str, vector: str, label: str, folds: int = 3) -> DataFrame:
+    """(key, given, p): out-of-fold class probabilities of a logistic model on vectors; p is an array by class, labels are 0, 1, ..."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from lexiloom.operators.corpus import cross_validated
+
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_x"), F.col(label).cast("double").alias("_y"))
+    fit = lambda train: LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=20, regParam=0.01).fit(train)
+    predict = lambda model, held: model.transform(held).select(key, F.col("_y").cast("int").alias("given"), vector_to_array("probability").alias("p"))
+    return cross_validated(rows, key, folds, fit, predict)

@@ -102,6 +102,6 @@ def containing(outer: DataFrame, outer_key: str, outer_text: str, inner: DataFra
     short = short.withColumn("g", F.substring("it", 1, 3))
     for n in (1, 2, 3):
         mine = short.where(F.length("it") >= 3 if n == 3 else F.length("it") == n)
-        grams = outer.where(F.length("ot") >= n).select("ok", "ot", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("ot") - (n - 1)), lambda i, n=n: F.substring(F.col("ot"), i, F.lit(n))))).alias("g"))
+        grams = outer.where(F.length("ot") >= n).select("ok", "ot", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(ot) - {n - 1}), i -> substring(ot, i, {n}))"))).alias("g"))
         hits = hits.unionAll(grams.join(mine, "g").where(F.contains("ot", F.col("it"))).select("ok", "ik"))
     return hits.distinct()

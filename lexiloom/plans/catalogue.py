@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("eda", "prepare", "learn", "relational")
+MODULES = ("eda", "prepare", "learn", "extended", "relational")
 
 
 def _all() -> dict:

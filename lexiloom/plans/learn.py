@@ -233,6 +233,7 @@ def confusion_normalised(t):
 @q(f"""WITH c AS (SELECT l AS label, sum(CASE WHEN gold = l THEN 1 ELSE 0 END) AS g, sum(CASE WHEN pred = l THEN 1 ELSE 0 END) AS s, sum(CASE WHEN gold = l AND pred = l THEN 1 ELSE 0 END) AS h FROM {G}, (SELECT unnest(['a', 'b', 'c']) AS l) GROUP BY l),
 m AS (SELECT label, CASE WHEN s > 0 THEN h / s ELSE 0 END AS precision, CASE WHEN g > 0 THEN h / g ELSE 0 END AS recall, g FROM c), f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM m)
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, g::BIGINT AS support FROM f UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), sum(g)::BIGINT FROM f
+UNION ALL SELECT 'micro avg', round(sum(h) / sum(s), 6), round(sum(h) / sum(g), 6), round(2 * sum(h) / (sum(s) + sum(g)), 6), sum(g)::BIGINT FROM c
 UNION ALL SELECT 'weighted avg', round(sum(precision * g) / sum(g), 6), round(sum(recall * g) / sum(g), 6), round(sum(f1 * g) / sum(g), 6), sum(g)::BIGINT FROM f""")
 def classification_report(t):
     r = M.report(scored(t), "gold", "pred")

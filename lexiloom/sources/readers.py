@@ -106,3 +106,15 @@ def html_elements(df: DataFrame, key: str, html: str) -> DataFrame:
     from lexiloom.functions.text import html_text
 
     return df.select(key, "pos", kind.alias("kind"), html_text("raw").alias("text")).where("text <> ''")
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(token, id) as ``writers.vocabulary`` writes it."""
+    return spark.read.schema("token string, id long").json(path)
+
+
+def model(path: str):
+    """A fitted Spark ML pipeline."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

@@ -28,3 +28,13 @@ def append(df: DataFrame, path: str) -> None:
 
 def metrics(spark: SparkSession, values: dict[str, float], path: str) -> None:
     spark.createDataFrame([tuple(values.values())], list(values)).coalesce(1).write.mode("overwrite").json(path)
+
+
+def vocabulary(vocab: DataFrame, path: str) -> None:
+    """(token, id) as JSON lines in the order of the id; ``readers.vocabulary`` reads it."""
+    vocab.select("token", "id").orderBy("id").write.mode("overwrite").json(path)
+
+
+def model(fitted, path: str) -> None:
+    """A fitted Spark ML pipeline; ``readers.model`` reads it."""
+    fitted.write().overwrite().save(path)
