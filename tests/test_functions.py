@@ -24,7 +24,7 @@ def test_words_and_cleaning(spark):
     assert one(spark, T.clean_label("a"), a='"Big Topic!"\nmore') == "Big Topic"
     assert one(spark, T.clean_label("a"), a="") == "Unlabelled"
     assert one(spark, T.sentences("a"), a="One. Two. Three.") == ["One.", "Two.", "Three."]
-    assert one(spark, T.to_words("a", 3), a="x y") == "x y <pad>"
+    assert one(spark, T.to_words("a", 3), a="x y") == "x y<pad>"  # padding stands right behind the text
     assert one(spark, T.to_words("a", 1), a="x y") == "x"
     assert one(spark, T.html_text("a"), a="<p>a &amp; b</p><script>x()</script> c") == "a & b c"
     assert one(spark, T.literal_list("a"), a="['x', 'y']") == ["x", "y"]
