@@ -25,7 +25,7 @@ def folder(spark, tmp_path) -> str:
 def test_near_duplicates_of_every_kind(spark, tmp_path):
     sets = {i: set(t.lower().split()) for i, t, _ in TEXTS if t and t.split()}
     want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(sets, 2)}
-    got = catalogue.queries()["jaccard_pairs_all"](spark, folder(spark, tmp_path)).collect()
+    got = catalogue.queries()["jaccard_pairs"](spark, folder(spark, tmp_path)).collect()
     assert {(r["a"], r["b"]): r["jaccard"] for r in got} == {k: round(v, 6) for k, v in want.items() if v >= 0.8}
 
 
