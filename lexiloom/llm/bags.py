@@ -19,6 +19,11 @@ for a partner in the next class visit that too.
 Within a region a parity sketch of each bag gives a lower bound of the
 distance (a token in only one bag flips one bit); pairs under the bound are
 compared token by token. No step loses a pair.
+
+Texts of different classes of length or of different tables never share a
+region, so the rows sent are met in passes, each over some classes of some
+tables; a class with too many rows is cut by the hash of its regions. The rows
+of a pass leave the disk before the next one begins.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.session import materialise
+from lexiloom.session import collected, materialise
 
 WORDS = re.compile(r"[^\W_]+")
 #: Cells of the frequency sketch: at least and at most 2**these, in between one for every TOKENS_A_CELL tokens.
@@ -45,6 +51,8 @@ HOT, COPIES = 50_000, 2_000
 #: Rows of a region from which on it is compared in strips, pairs of a strip, and the length from which on it is not known exactly.
 SMALL, STRIP, UNKNOWN = 24, 2**15, 2**20 - 1
 RATIO = 1.75
+#: Passes that the rows are met in at least once they exceed as many bytes in each.
+PASSES, PASS_BYTES = 6, 64_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -131,10 +139,63 @@ def classes(least: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return low_[:-1], low_[1:]
 
 
-def regions(n: np.ndarray, token: np.ndarray, salt: np.ndarray, least: int, t: float) -> Iterator[tuple]:
-    """For each class of length: which texts, whether as visitors, regions (texts x m), how many of them matter, sketch."""
+def _wide(high: int) -> int:
+    """Bits of the sketches of a class of texts of less than ``high`` tokens."""
+    return 104 if high <= 120 else 64 * math.ceil(high * 0.8 / 64)
+
+
+class Pass:
+    """A part of the join: classes of length of tables, as (tab, class), and of their regions those with ``part`` as the remainder of their hash by ``parts``."""
+
+    def __init__(self, units: list[tuple[int, int]], part: int = 0, parts: int = 1):
+        self.part, self.parts = part, parts
+        self.tabs: dict[int, list[int]] = {}
+        for tab, c in units:
+            self.tabs.setdefault(c, []).append(tab)
+
+    def texts(self, tab: np.ndarray, c: int) -> np.ndarray:
+        return np.isin(tab, self.tabs.get(c, []))
+
+    def regions(self, key: np.ndarray) -> np.ndarray:
+        return mix(key) % np.uint64(self.parts) == self.part
+
+    def of(self, table: DataFrame, least: int, t: float) -> DataFrame:
+        """The rows of a ``bag_table`` whose texts may be at home in the pass or visit it."""
+        ask = F.lit(False)
+        for c, tabs in self.tabs.items():
+            low, high = classes_to(least, c)
+            ask |= F.col("tab").isin(tabs) & F.col("n").between(int(t * low), high - 1)
+        return table.where(ask)
+
+
+def passes(units: dict[tuple[int, int], int]) -> list[Pass]:
+    """Passes over units of so many bytes: of at most PASS_BYTES, or else a PASSES-th of all."""
+    most = max(PASS_BYTES, sum(units.values()) / PASSES)
+    out, open_, room = [], [], most
+    for unit, size in sorted(units.items(), key=lambda x: (-x[1], x[0])):
+        if size > most:
+            parts = math.ceil(size / most)
+            out += [Pass([unit], i, parts) for i in range(parts)]
+            continue
+        if size > room:
+            out.append(Pass(open_))
+            open_, room = [], most
+        open_.append(unit)
+        room -= size
+    return [*out, Pass(open_)] if open_ else out
+
+
+def classes_to(least: int, c: int) -> tuple[int, int]:
+    """The bounds of class ``c``."""
+    low, high = classes(least, math.ceil((least + c + 1) * RATIO ** (c + 1)))
+    return int(low[c]), int(high[c])
+
+
+def regions(n: np.ndarray, token: np.ndarray, tab: np.ndarray, least: int, t: float, now: Pass | None = None) -> Iterator[tuple]:
+    """For each class of length (of the pass ``now``): its number, which texts, whether as visitors, regions (texts x m), how many of them matter, sketch."""
     if not len(n):
         return
+    salt = _salt(tab)
     start = np.concatenate([[0], np.cumsum(n)])
     low, high = classes(least, int(n.max()))
     home = np.searchsorted(low, n, side="right") - 1
@@ -142,7 +203,7 @@ def regions(n: np.ndarray, token: np.ndarray, salt: np.ndarray, least: int, t: f
     eps = 1e-9
     for c in range(len(low)):
         visit = (home == c - 1) & (n >= t * low[c] - eps)
-        docs = np.flatnonzero((home == c) | visit)
+        docs = np.flatnonzero((home == c) | visit if now is None else ((home == c) | visit) & now.texts(tab, c))
         if not len(docs):
             continue
         most = int(spread * 2 * (high[c] - 1) + eps)
@@ -157,49 +218,64 @@ def regions(n: np.ndarray, token: np.ndarray, salt: np.ndarray, least: int, t: f
         region = mix(total.reshape(len(docs), m) + np.arange(1, m + 1, dtype=np.uint64)[None, :] * _M2 + np.uint64((c + 1) * int(_M1) % 2**64) + salt[docs][:, None])
         partner = np.minimum(np.floor(size / t + eps).astype(np.int64), high[c] - 1)
         matter = np.minimum((spread * (size + partner) + eps).astype(np.int64) + 1, m)
-        wide = 104 if high[c] <= 120 else 64 * math.ceil(high[c] * 0.8 / 64)
+        wide = _wide(int(high[c]))
         bit = (x & np.uint64(0xFFFFF)).astype(np.int64) * wide >> 20
         odd = np.bincount(where * wide + bit, minlength=len(docs) * wide).reshape(len(docs), wide) & 1
-        yield docs, visit[docs], region, matter, odd.astype(np.uint8)
+        yield c, docs, visit[docs], region, matter, odd.astype(np.uint8)
 
 
-def _frequency(table: DataFrame, least: int, t: float, bits: int) -> tuple[np.ndarray, int]:
-    """Counts of all regions in 2**bits cells (a bound on each region's size) and their total.
+def _frequency(table: DataFrame, least: int, t: float, bits: int) -> tuple[np.ndarray, dict[tuple[int, int], int]]:
+    """Counts of all regions in 2**bits cells (a bound on each region's size), and the bytes of the rows that each table and class of length sends.
 
-    Each task sends its cells in slices, those that are sparse without their
-    zeros; they are summed by slice on the executors.
+    Each task sends its cells in slices, in as few bytes a count as hold them,
+    those that are sparse without their zeros; they are summed by slice on the
+    executors. There are twice as many tasks as cores, not one for so many
+    texts, so what is sent has a bound that does not grow with the texts.
     """
-    slices = 64
+    slices = 256
     step = 2**bits // slices
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(2**bits, np.int64)
+        units: dict[int, int] = {}
         for (_, tab), n, token in _read(batches):
-            for _, _, region, _, _ in regions(n, token, _salt(tab), least, t):
+            for c, docs, _, region, matter, odd in regions(n, token, tab, least, t):
                 cells += np.bincount(_sketched(region.ravel(), bits), minlength=len(cells))
+                for x, rows in enumerate(np.bincount(tab[docs], weights=matter)):
+                    units[x << 10 | c] = units.get(x << 10 | c, 0) + int(rows) * (24 + odd.shape[1] // 8)
         part, where, what = [], [], []
         for i, own in enumerate(cells.reshape(slices, step)):
             at = np.flatnonzero(own)
             if len(at):
                 part.append(i)
-                where.append(at.astype(np.int32).tobytes() if 2 * len(at) < step else b"")
-                what.append((own[at] if 2 * len(at) < step else own).tobytes())
+                size = np.min_scalar_type(own.max())
+                sparse = len(at) * (2 + size.itemsize) < step * size.itemsize
+                where.append(at.astype(np.uint16).tobytes() if sparse else b"")
+                what.append((own[at] if sparse else own).astype(size).tobytes())
+        for unit, size in units.items():
+            part.append(slices + unit)
+            where.append(b"")
+            what.append(np.array([size], np.int64).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(where, pa.binary()), pa.array(what, pa.binary())], names=["part", "cells", "counts"])
 
     def add(key: tuple, pdf):
-        total = np.zeros(step, np.int64)
+        total = np.zeros(step if key[0] < slices else 1, np.int64)
         for x, y in zip(pdf["cells"], pdf["counts"], strict=True):
             if len(x):
-                total[np.frombuffer(x, np.int32)] += np.frombuffer(y, np.int64)
+                total[np.frombuffer(x, np.uint16)] += np.frombuffer(y, f"u{len(y) * 2 // len(x)}").astype(np.int64)
             else:
-                total += np.frombuffer(y, np.int64)
-        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
+                total += np.frombuffer(y, f"u{len(y) // len(total)}").astype(np.int64)
+        return pd.DataFrame({"part": [key[0]], "counts": [(np.minimum(total, 2**31 - 1).astype(np.int32) if key[0] < slices else total).tobytes()]})
 
-    found = table.select("tab", "bag", "n", "words").mapInArrow(count, "part int, cells binary, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    cells = np.zeros(2**bits, np.int64)
+    few = table.coalesce(2 * table.sparkSession.sparkContext.defaultParallelism)
+    found = collected(few.select("tab", "bag", "n", "words").mapInArrow(count, "part int, cells binary, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary"))
+    cells, units = np.zeros(2**bits, np.int32), {}
     for r in found:
-        cells[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(bytes(r["counts"]), np.int64)
-    return np.minimum(cells, 2**31 - 1).astype(np.int32), int(cells.sum())
+        if r["part"] < slices:
+            cells[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(bytes(r["counts"]), np.int32)
+        elif size := int(np.frombuffer(bytes(r["counts"]), np.int64)[0]):
+            units[divmod(r["part"] - slices, 1 << 10)] = size
+    return cells, units
 
 
 def _sketched(region: np.ndarray, bits: int) -> np.ndarray:
@@ -214,7 +290,7 @@ def _hot(table: DataFrame, cells, least: int, t: float) -> DataFrame | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = cells.value
         for (_, tab), n, token in _read(batches):
-            for _, _, region, matter, _ in regions(n, token, _salt(tab), least, t):
+            for _, _, _, region, matter, _ in regions(n, token, tab, least, t):
                 _, key, bound = _chosen(region, matter, count)
                 key, times = np.unique(key[bound > HOT], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(times)], names=["region", "n"])
@@ -255,15 +331,16 @@ def _chosen(region: np.ndarray, matter: np.ndarray, count: np.ndarray) -> tuple[
     return r, region[r, col], often[r, col]
 
 
-def _marks(table: DataFrame, cells, least: int, t: float) -> np.ndarray:
-    """A bitmap of 2**MARK_BITS cells with a mark for every region of the evaluation texts (role 2); its size is the same for any input."""
+def _marks(table: DataFrame, cells, least: int, t: float, now: Pass) -> np.ndarray:
+    """A bitmap of 2**MARK_BITS cells with a mark for every region of the evaluation texts (role 2) in the pass; its size is the same for any input."""
     slices = 64
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = np.zeros(2**MARK_BITS, bool)
         for (_, tab), n, token in _read(batches):
-            for _, _, region, matter, _ in regions(n, token, _salt(tab), least, t):
-                on[(_chosen(region, matter, cells.value)[1] >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
+            for _, _, _, region, matter, _ in regions(n, token, tab, least, t, now):
+                key = _chosen(region, matter, cells.value)[1]
+                on[(key[now.regions(key)] >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([np.packbits(x).tobytes() for x in on.reshape(slices, -1)], pa.binary())], names=["part", "cells"])
 
     return _joined(table.where("role = 2").select("tab", "bag", "n", "words").mapInArrow(mark, "part int, cells binary"), slices)
@@ -278,19 +355,22 @@ def _joined(bitmaps: DataFrame, slices: int) -> np.ndarray:
         pdf["cells"] = [on.tobytes()]
         return pdf
 
-    found = {r["part"]: np.frombuffer(bytes(r["cells"]), np.uint8) for r in bitmaps.groupBy("part").applyInPandas(join, "part int, cells binary").collect()}
+    found = {r["part"]: np.frombuffer(bytes(r["cells"]), np.uint8) for r in collected(bitmaps.groupBy("part").applyInPandas(join, "part int, cells binary"))}
     return np.concatenate([found[k] for k in range(slices)]) if found else np.zeros(0, np.uint8)
 
 
-def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
-    """One row for each text and each of its regions that matter. With ``marks``, training texts (role 1) only meet regions that evaluation texts have marked."""
+def _emit(table: DataFrame, cells, least: int, t: float, marks, now: Pass) -> DataFrame:
+    """One row for each text and each of its regions that matter in the pass. With ``marks``, training texts (role 1) only meet regions that evaluation texts have marked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = cells.value
         on = None if marks is None else np.unpackbits(marks.value).astype(bool)
         for (bag, tab, role), n, token in _read(batches, ("role",)):
-            for docs, visit, region, matter, odd in regions(n, token, _salt(tab), least, t):
+            for _, docs, visit, region, matter, odd in regions(n, token, tab, least, t, now):
                 r, key, _ = _chosen(region, matter, count)
+                if now.parts > 1:
+                    own = now.regions(key)
+                    r, key = r[own], key[own]
                 if on is not None:
                     hit = (role[docs[r]] != 1) | (on[(key >> np.uint64(64 - MARK_BITS)).astype(np.int64)] if len(on) else False)
                     r, key = r[hit], key[hit]
@@ -316,9 +396,9 @@ def _emit(table: DataFrame, cells, least: int, t: float, marks) -> DataFrame:
 
 
 def _in_blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Crowded regions are cut into blocks by bag; every two blocks meet in a region of their own."""
+    """Crowded regions are cut into blocks by bag; every two blocks meet in a region of their own. ``hot`` has a row for every HOT rows sent at most."""
     own = F.pmod(F.xxhash64("bag"), F.col("blocks"))
-    rows = rows.join(hot, "region", "left").withColumn("own", own).withColumn("with", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(F.lit(0)))))
+    rows = rows.join(F.broadcast(hot), "region", "left").withColumn("own", own).withColumn("with", F.explode(F.coalesce(F.sequence(F.lit(0), F.col("blocks") - 1), F.array(F.lit(0)))))
     region = F.when(F.col("blocks").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.least("own", "with"), F.greatest("own", "with")))
     return rows.select(region.alias("region"), "bag", "head", "tail", "rest")
 
@@ -464,12 +544,22 @@ def alike_bags(table: DataFrame, least: int, t: float, roles: bool = False) -> D
     """
     spark = table.sparkSession
     tokens = table.agg(F.sum("n")).first()[0] or 0
-    cells, total = _frequency(table, least, t, min(MOST_SKETCH_BITS, max(SKETCH_BITS, (tokens // TOKENS_A_CELL).bit_length())))
+    cells, units = _frequency(table, least, t, min(MOST_SKETCH_BITS, max(SKETCH_BITS, (tokens // TOKENS_A_CELL).bit_length())))
     shared = spark.sparkContext.broadcast(cells)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
-    marks = spark.sparkContext.broadcast(_marks(table, shared, least, t)) if roles else None
-    rows, hot = _emit(table, shared, least, t, marks), _hot(table, shared, least, t)
-    pairs = materialise(_meet(rows if hot is None else _in_blocks(rows, hot), parts, t, roles), "pairs")
+    hot = _hot(table, shared, least, t)
+    met = []
+    for now in passes(units):
+        own = now.of(table, least, t)
+        marks = spark.sparkContext.broadcast(_marks(own, shared, least, t, now)) if roles else None
+        rows = _emit(own, shared, least, t, marks, now)
+        size = sum(units[tab, c] for c, tabs in now.tabs.items() for tab in tabs) // now.parts
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 40_000_000)
+        met.append(materialise(_meet(rows if hot is None else _in_blocks(rows, hot), parts, t, roles), "met"))
+        if marks is not None:
+            marks.unpersist()
+    if not met:
+        met.append(spark.createDataFrame([], "a long, b long"))
+    pairs = met[0] if len(met) == 1 else materialise(reduce(DataFrame.unionAll, met).distinct(), "pairs")
 
     wanted = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("bag"))
     bitmap = spark.sparkContext.broadcast(_wanted(wanted.select("bag")))

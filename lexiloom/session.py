@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g", name: str = "lexiloom") -> SparkSession:
@@ -47,15 +51,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a compressed table into the shared folder and reads it back.
 
     Cuts the lineage in a way that outlives lost executors; the table is
-    removed when the driver ends.
+    removed when the driver ends. The shuffle files behind it go as soon as it
+    is written: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> list[Row]:
+    """The rows of ``df``; its shuffle files go at once."""
+    with _tidy(df.sparkSession):
+        return df.select("*").collect()  # the setting holds for plans made under it
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

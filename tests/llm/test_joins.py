@@ -87,3 +87,46 @@ def test_overlaps_across_splits(spark, monkeypatch, copies):
     report = o.report().collect()
     assert {r["source"] for r in report} == {"s1"}
     assert sum(r["overlapping"] for r in report) == len({k for p in want for k in p if side[k] != "train"})
+
+
+def on_disk(spark) -> int:
+    """Bytes of shuffle files."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+@pytest.mark.parametrize("most", [1, 20_000])
+def test_pairs_are_met_in_passes_that_leave_the_disk(spark, monkeypatch, most):
+    monkeypatch.setattr(bags, "PASS_BYTES", most)
+    rows = corpus(4)
+    df = spark.createDataFrame(rows, "id long, text string")
+    split = spark.createDataFrame([(k, x, ("train", "test")[k % 2]) for k, x in rows], "id long, text string, split string")
+    seen, left = [], []
+    meet, before = bags._meet, on_disk(spark)
+
+    def spy(sent, *args):
+        seen.append(sent.count())
+        left.append(on_disk(spark) - before)
+        return meet(sent, *args)
+
+    monkeypatch.setattr(bags, "_meet", spy)
+    got = NearDuplicates([("a", df, "id", "text"), ("b", df, "id", "text")])
+    assert len(seen) >= bags.PASSES - 1 and max(seen) < sum(seen) / 2 and max(left) < 10_000
+    assert {(r["tab"], r["id_a"], r["id_b"]) for r in got.pairs().collect()} == {(t, i, j) for t in "ab" for i, j in alike(rows)}
+    o = SplitOverlap([("a", split, "id", "text", "split", None)])
+    assert {(r["id_a"], r["id_b"]) for r in o.pairs().collect()} == {(i, j) for i, j in alike(rows) if (i + j) % 2}
+
+
+def test_passes_hold_every_unit_once():
+    units = {(tab, c): 10 ** (c % 4) * (tab + 1) for tab in range(3) for c in range(7)}
+    whole = bags.passes(units)
+    assert len(whole) == 1
+    bags_most = bags.PASS_BYTES
+    try:
+        bags.PASS_BYTES = 1
+        cut = bags.passes(units)
+    finally:
+        bags.PASS_BYTES = bags_most
+    held = [(tab, c, p.part, p.parts) for p in cut for c, tabs in p.tabs.items() for tab in tabs]
+    assert len(held) == len(set(held)) and {x[:2] for x in held} == set(units)
+    assert max(sum(units[tab, c] for c, tabs in p.tabs.items() for tab in tabs) / p.parts for p in cut) <= sum(units.values()) / bags.PASSES
