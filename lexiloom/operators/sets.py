@@ -6,6 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lexiloom.session import materialise
 
 
 def jaccard_join(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
@@ -81,27 +84,132 @@ def minhash_pairs(df: DataFrame, key: str, tokens: str, threshold: float, permut
     return near.unionAll(copies)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Cells of the bitmap for every inner text, and the least and the most bits of the number of cells.
+CELLS_A_TEXT, LEAST_BITS, MOST_BITS = 64, 16, 28
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+class _Windows:
+    """Hashes of all windows of a run of bytes, by sums of their prefixes."""
+
+    def __init__(self, data: np.ndarray):
+        # byte i counts times BASE**-i, so that a window is a difference of sums times BASE**start
+        back = _powers(pow(int(_BASE), -1, 2**64), len(data))
+        self.power = _powers(int(_BASE), len(data) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * back, dtype=np.uint64)])
+
+    def of(self, start: np.ndarray, size) -> np.ndarray:
+        """The hashes of the windows of ``size`` bytes from ``start`` on."""
+        h = (self.sums[start + size] - self.sums[start]) * self.power[start]
+        return _spread(h + np.asarray(size).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of binaries without nulls, and where each begins and the last ends."""
+    column = column.cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
+    return data[at[0] : at[-1]], at - at[0]
+
+
+def _parts(batches, rows: int = 1000, most: int = 4_000_000):
+    """Batches cut so that each has few rows and, where one row allows it, few bytes of the last column."""
+    for b in batches:
+        lo = 0
+        while lo < b.num_rows:
+            hi = min(b.num_rows, lo + rows)
+            while hi > lo + 1 and b.column(b.num_columns - 1).slice(lo, hi - lo).nbytes > most:
+                hi = lo + (hi - lo) // 2
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(2**bits - 1)).astype(np.int64)
+
+
+def _index(batches):
+    """(start, whole, size): of each inner text the hash of its longest start of a power of two bytes, that of the text, and its bytes."""
+    for b in _parts(batches):
+        data, at = _bytes(b.column(0))
+        size = np.diff(at)
+        w = _Windows(data)
+        start = 2 ** np.floor(np.log2(size)).astype(np.int64)
+        start = np.where(start > size, start // 2, start)  # the logarithm is rounded
+        yield pa.RecordBatch.from_arrays([pa.array(w.of(at[:-1], start).view(np.int64)), pa.array(w.of(at[:-1], size).view(np.int64)), pa.array(size)], names=["start", "whole", "size"])
+
+
+def _bitmap(h: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits cells with two marks for each hash: a filter of fixed size that lets all of them through."""
+    low = F.col(column).bitwiseAND(2**bits - 1)
+    cell = h.select(F.explode(F.array(F.shiftrightunsigned(column, 64 - bits), low)).alias("c"))
+    words = cell.groupBy(F.shiftright("c", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 32 as int))")).alias("on")).toArrow()
+    out = np.zeros(2 ** (bits - 5), "<u4")
+    out[words.column("w").to_numpy()] = words.column("on").to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def _marked(on: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    a, b = _cells(h, bits)
+    return ((on[a >> 3] >> (a & 7).astype(np.uint8)) & (on[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def containing(outer: DataFrame, outer_key: str, outer_text: str, inner: DataFrame, inner_key: str, inner_text: str) -> DataFrame:
     """(outer key, inner key) where the outer text contains the inner one as it stands.
 
-    Every inner text is indexed under its rarest word between blanks (a word at
-    neither end, which a longer text must hold whole); outer texts are scanned
-    for those words and hits are checked. Inner texts of fewer than three words
-    have no such word and are looked up under their first characters.
+    Works on the bytes of the texts. Every inner text is known by the hash of
+    its longest start of a power of two bytes and by that of the whole; both
+    are marked in bitmaps. Outer texts are scanned in place for such starts;
+    where one is found, windows of the lengths that inner texts have are looked
+    up, and only what passes is sent, to meet the inner texts as it reads.
     """
-    inner = inner.select(F.col(inner_key).alias("ik"), F.col(inner_text).alias("it")).where("ik is not null and it is not null and it <> ''").distinct()
-    outer = outer.select(F.col(outer_key).alias("ok"), F.col(outer_text).alias("ot")).where("ok is not null and ot is not null").distinct()
-    parts = F.split("it", " ")
-    whole = inner.where(F.size(parts) >= 3).select("ik", "it", F.explode(F.array_distinct(F.slice(parts, F.lit(2), F.size(parts) - 2))).alias("w")).where("w <> ''")
-    words = outer.select("ok", F.explode(F.array_distinct(F.split("ot", " "))).alias("w"))
-    freq = words.groupBy("w").agg(F.count("*").alias("f"))
-    rare = whole.join(freq, "w", "left").groupBy("ik").agg(F.min_by(F.struct("it", "w", "f"), F.struct(F.coalesce("f", F.lit(0)), "w")).alias("x")).select("ik", "x.*").where("f is not null")
-    hits = words.join(rare.select("ik", "it", "w"), "w").join(outer, "ok").where(F.contains("ot", F.col("it"))).select("ok", "ik")
-    short = inner.join(rare.select("ik"), "ik", "left_anti").join(whole.select("ik").distinct(), "ik", "left_anti")
-    # the rest has no inner word: it is looked up under its first three characters, or all of them if there are fewer
-    short = short.withColumn("g", F.substring("it", 1, 3))
-    for n in (1, 2, 3):
-        mine = short.where(F.length("it") >= 3 if n == 3 else F.length("it") == n)
-        grams = outer.where(F.length("ot") >= n).select("ok", "ot", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(ot) - {n - 1}), i -> substring(ot, i, {n}))"))).alias("g"))
-        hits = hits.unionAll(grams.join(mine, "g").where(F.contains("ot", F.col("it"))).select("ok", "ik"))
-    return hits.distinct()
+    spark = outer.sparkSession
+    inner = inner.select(F.col(inner_key).alias("ik"), F.col(inner_text).cast("string").alias("it")).where("ik is not null and it is not null and it <> ''").distinct()
+    outer = outer.select(F.col(outer_key).alias("ok"), F.col(outer_text).cast("string").cast("binary").alias("ot")).where("ok is not null and ot is not null")
+    index = materialise(inner.select(F.col("it").cast("binary")).mapInArrow(_index, "start long, whole long, size long").distinct(), "index")
+    texts = index.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (texts * CELLS_A_TEXT).bit_length()))
+    sizes = np.sort(index.select("size").distinct().toArrow().column("size").to_numpy())
+    known = spark.sparkContext.broadcast((sizes, _bitmap(index, "start", bits), _bitmap(index, "whole", bits)))
+    key = outer.schema["ok"].dataType
+
+    def scan(batches):
+        sizes, starts, wholes = known.value
+        for b in _parts(batches):
+            data, at = _bytes(b.column(1))
+            w = _Windows(data)
+            end = np.repeat(at[1:], np.diff(at))
+            rows, begin, size = [], [], []
+            place = np.arange(len(data))
+            for n in 2 ** np.unique([int(x).bit_length() - 1 for x in sizes]):
+                own = sizes[(sizes >= n) & (sizes < 2 * n)]
+                here = place[place + n <= end]
+                here = here[_marked(starts, w.of(here, n), bits)]
+                for s in own:
+                    fits = here[here + s <= end[here]]
+                    fits = fits[_marked(wholes, w.of(fits, s), bits)]
+                    rows.append(np.searchsorted(at, fits, side="right") - 1)
+                    begin.append(fits)
+                    size.append(np.full(len(fits), s))
+            if not rows or not sum(map(len, rows)):
+                continue
+            row, begin_, size_ = np.concatenate(rows), np.concatenate(begin), np.concatenate(size)
+            raw = data.tobytes()
+            once = {(r, raw[i : i + s]) for r, i, s in zip(row.tolist(), begin_.tolist(), size_.tolist(), strict=True)}
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r for r, _ in once], pa.int64())), pa.array([x for _, x in once], pa.binary())], names=["ok", "part"])
+
+    hits = outer.mapInArrow(scan, T.StructType([T.StructField("ok", key), T.StructField("part", T.BinaryType())]))
+    return hits.join(inner.withColumn("part", F.col("it").cast("binary")), "part").select("ok", "ik").distinct()

@@ -101,6 +101,19 @@ def test_containing(spark):
     assert {tuple(r) for r in containing(outer, "k", "t", inner, "k", "t").collect()} == {(1, 7), (2, 7), (4, 8)}
 
 
+def test_containing_sends_only_what_is_found(spark):
+    rnd = random.Random(5)
+    words = ["é", "a", "ab", "bank", "Zinsen", "общий", "x" * 40, ""]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(1, 12))) for _ in range(80)]
+    outer = [(i, x) for i, x in enumerate(texts)]
+    inner = [(i, x[lo : lo + rnd.choice([1, 2, 3, 5, 8, 16, 33, 70])]) for i, x in enumerate(texts) for lo in [rnd.randrange(len(x) + 1)]]
+    o, n = spark.createDataFrame(outer, "k long, t string"), spark.createDataFrame(inner, "k long, t string")
+    got = containing(o, "k", "t", n, "k", "t")
+    assert {tuple(r) for r in got.collect()} == {(i, j) for i, x in outer for j, y in inner if y and y in x}
+    # neither words nor characters of the outer texts are sent as rows: there is no generator in the plan
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "g string, p string")
     r = {x["label"]: x for x in M.report(df, "g", "p").collect()}
