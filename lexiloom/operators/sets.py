@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,30 +13,140 @@ from pyspark.sql import types as T
 from lexiloom.session import materialise
 
 
+#: Cells of the token counts, tokens from which on prefixes are joined in passes, and how many passes at most; members of a token from which on they are compared in strips, and pairs of a strip.
+COUNT_BITS, PASS_TOKENS, PASSES, SMALL, STRIP = 20, 2_000_000, 4, 32, 2**15
+
+
+def _prefixes(counts, threshold: float, part: int, parts: int):
+    """(t, h, n, pos, a, b, c, d): the tokens of the prefix of each set that belong to a pass, with their places and 256 parities of the set's tokens. The same set once per task."""
+
+    def run(batches):
+        often, seen = counts.value, set()
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
+            fresh = [i for i, k in enumerate(b.column(0).to_pylist()) if not (k in seen or seen.add(k))]
+            if not fresh:
+                continue
+            b = b.take(pa.array(fresh))
+            h, x = b.column(0).to_numpy(), b.column(1)
+            n = x.value_lengths().to_numpy().astype(np.int64)
+            x = _spread(x.flatten().to_numpy().view(np.uint64))
+            doc = np.repeat(np.arange(len(n)), n)
+            odd = np.bincount(doc * 256 + (x >> np.uint64(56)).astype(np.int64), minlength=len(n) * 256).reshape(-1, 256) & 1
+            sketch = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+            order = np.lexsort((x, often[(x & np.uint64(2**COUNT_BITS - 1)).astype(np.int64)], doc))
+            pos = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            own = (pos < (n - np.ceil(n * threshold - 1e-9) + 1)[doc]) & ((x[order] >> np.uint64(32)) % np.uint64(parts) == part)
+            doc, x, pos = doc[own], x[order][own], pos[own]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(h[doc]), pa.array(n[doc].astype(np.int32)), pa.array(pos.astype(np.int32)), *[pa.array(np.ascontiguousarray(sketch[doc, i])) for i in range(4)]], names=["t", "h", "n", "pos", "a", "b", "c", "d"])
+
+    return run
+
+
+def _compared(threshold: float):
+    """(ha, hb): sets that share a token of their prefixes and that sizes, places and parities allow to be alike."""
+
+    def fits(n, pos, sketch, x, y):
+        both = n[x] + n[y]
+        least = np.ceil(threshold / (1 + threshold) * both - 1e-9)
+        ok = (n[x] >= threshold * n[y] - 1e-9) & (n[y] >= threshold * n[x] - 1e-9)
+        ok &= 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1 + np.minimum(pos[x], pos[y]) >= least
+        ok &= sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch) <= both - 2 * least
+        return ok
+
+    def run(batches):
+        read = [b for b in batches if b.num_rows]
+        if not read:
+            return
+        all_ = pa.Table.from_batches(read)
+        t, h, n, pos, *sketch = (all_.column(i).to_numpy() for i in range(8))
+        order = np.lexsort((h, n, t))
+        t, h, n, pos = t[order], h[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+        sketch = [s[order].view(np.uint64) for s in sketch]
+        cut = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
+        size = np.diff(cut)
+        found = []
+
+        def take(x, y):
+            ok = fits(n, pos, sketch, x, y) & (h[x] != h[y])
+            if ok.any():
+                x, y = h[x[ok]], h[y[ok]]
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+
+        end = np.repeat(cut[1:], size)
+        i = np.flatnonzero(np.repeat(size < SMALL, size))
+        d = 1
+        while len(i := i[i + d < end[i]]):
+            take(i, i + d)
+            d += 1
+        for g in np.flatnonzero(size >= SMALL):
+            lo, hi = int(cut[g]), int(cut[g + 1])
+            while lo < hi:
+                to = min(hi, lo + max(1, STRIP // (hi - lo)))
+                last = lo + int(np.searchsorted(n[lo:hi], n[to - 1] / threshold + 1e-9, side="right"))
+                near = np.bitwise_count(sketch[0][lo:to, None] ^ sketch[0][None, lo:last]) <= int((n[to - 1] + n[last - 1]) * (1 - threshold) / (1 + threshold) + 1e-9)
+                x, y = np.nonzero(near)
+                later = y > x
+                take(x[later] + lo, y[later] + lo)
+                lo = to
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["ha", "hb"])
+
+    return run
+
+
 def jaccard_join(df: DataFrame, key: str, tokens: str, threshold: float) -> DataFrame:
     """(a, b, jaccard): all pairs of at least ``threshold``, a < b; empty sets and nulls take no part.
 
     Exact: sets are compared as classes of equal sets; each is indexed under
-    its rarest tokens (prefix filter over the order of frequencies), candidates
-    must fit in size and place, then whole sets are intersected.
+    its rarest tokens (prefix filter; frequencies by cells of a fixed number,
+    which only order the tokens), in passes by token whose rows leave the disk
+    one after the other. Candidates must fit in size, place and parities before
+    they are sent, then whole sets are intersected.
     """
+    spark = df.sparkSession
     sets = df.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("w")).where(F.size("w") > 0).withColumn("h", F.xxhash64("w"))
-    one = sets.groupBy("h").agg(F.any_value("w").alias("w"))
-    flat = one.select("h", F.size("w").alias("n"), F.explode("w").alias("t"))
-    freq = flat.groupBy("t").agg(F.count("*").alias("f"))
-    ranked = flat.join(freq, "t").groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("r"))  # one set's tokens
-    keep = (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")
-    prefix = ranked.select("h", "n", F.posexplode(F.slice("r", F.lit(1), keep)).alias("pos", "x")).select("h", "n", "pos", F.col("x.t").alias("t"), F.col("x.f").alias("f")).where("f > 1")
-    x, y = prefix.alias("x"), prefix.alias("y")
-    least = F.ceil(threshold / (1 + threshold) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    fits = (F.col("x.h") < F.col("y.h")) & (F.col("x.n") >= threshold * F.col("y.n") - 1e-9) & (F.col("y.n") >= threshold * F.col("x.n") - 1e-9)
-    room = 1 + F.least(F.col("x.n") - F.col("x.pos") - 1, F.col("y.n") - F.col("y.pos") - 1) + F.least(F.col("x.pos"), F.col("y.pos"))
-    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & fits & (room >= least)).select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct()
+    own = materialise(sets.select("id", "h", F.transform("w", lambda t: F.xxhash64(t)).alias("x")), "sets")
+    hashes, ids = own.select("h", "x"), own.select("h", "id")
+
+    def count(batches):
+        cells = np.zeros(2**COUNT_BITS, np.int64)
+        for b in batches:
+            x = _spread(b.column(1).flatten().to_numpy().view(np.uint64))
+            cells += np.bincount((x & np.uint64(2**COUNT_BITS - 1)).astype(np.int64), minlength=len(cells))
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], names=["cell", "n"])
+
+    found = hashes.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(2**COUNT_BITS, np.int64)
+    often[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    counts = spark.sparkContext.broadcast(often)
+    passes = max(1, min(PASSES, int(often.sum()) // PASS_TOKENS))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(often.sum()) // passes // PASS_TOKENS)
+    met = []
+    for i in range(passes):
+        rows = hashes.mapInArrow(_prefixes(counts, threshold, i, passes), "t long, h long, n int, pos int, a long, b long, c long, d long")
+        met.append(materialise(rows.repartition(parts, "t").mapInArrow(_compared(threshold), "ha long, hb long").distinct(), "met"))
+    pairs = materialise(reduce(DataFrame.unionAll, met).distinct(), "pairs")
+
+    ends = pairs.select(F.explode(F.array("ha", "hb")).alias("h"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (2 * pairs.count() * CELLS_A_TEXT).bit_length()))
+    wanted = spark.sparkContext.broadcast(_bitmap(ends, "h", bits))
+
+    def once(batches):
+        seen: set[int] = set()
+        for b in batches:
+            h = b.column(0).to_numpy()
+            at = np.flatnonzero(_marked(wanted.value, h.view(np.uint64), bits))
+            fresh = [i for i, k in zip(at.tolist(), h[at].tolist(), strict=True) if not (k in seen or seen.add(k))]
+            if fresh:
+                yield b.take(pa.array(fresh))
+
+    one = sets.select("h", "w").mapInArrow(once, sets.select("h", "w").schema).dropDuplicates(["h"])
     full = pairs.join(one.select(F.col("h").alias("ha"), F.col("w").alias("wa")), "ha").join(one.select(F.col("h").alias("hb"), F.col("w").alias("wb")), "hb")
     n = F.size(F.array_intersect("wa", "wb"))
     near = full.withColumn("jaccard", n / (F.size("wa") + F.size("wb") - n)).where(F.col("jaccard") >= threshold - 1e-12).select("ha", "hb", "jaccard")
-    same = one.select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(1.0).alias("jaccard"))
-    ids = sets.select("h", "id")
+    same = ids.groupBy("h").count().where("count > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.lit(1.0).alias("jaccard"))
     out = near.unionAll(same).join(ids.select(F.col("h").alias("ha"), F.col("id").alias("i")), "ha").join(ids.select(F.col("h").alias("hb"), F.col("id").alias("j")), "hb")
     return out.where((F.col("ha") != F.col("hb")) | (F.col("i") < F.col("j"))).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "jaccard")
 

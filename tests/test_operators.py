@@ -12,6 +12,7 @@ from lexiloom.operators import frames as O
 from lexiloom.operators import metrics as M
 from lexiloom.operators import models as X
 from lexiloom.operators import similarity as S
+from lexiloom.operators import sets as sets_
 from lexiloom.operators.sets import containing, jaccard_join
 from lexiloom.sources import readers as R
 from lexiloom.sources import writers as K
@@ -95,6 +96,25 @@ def test_jaccard_join_against_brute_force(spark):
         assert {(r["a"], r["b"]) for r in jaccard_join(df, "id", "w", t).collect()} == want
 
 
+def test_jaccard_join_sends_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(sets_, "PASS_TOKENS", 5_000)
+    rnd = random.Random(8)
+    rows = [(i, rnd.sample([f"w{k}" for k in range(70)], rnd.randint(15, 25))) for i in range(1500)]
+    rows += [(2000 + i, [*w[:-1], "new"]) for i, w in rows[:60]] + [(3000 + i, w[::-1]) for i, w in rows[:30]] + [(4000, []), (4001, None)]
+    bags_ = {i: set(w) for i, w in rows if w}
+    want = {(i, j): len(bags_[i] & bags_[j]) / len(bags_[i] | bags_[j]) for i, j in itertools.combinations(bags_, 2)}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName(): f.length() for f in map(disk.getAllFiles().apply, range(disk.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    before = files()
+    got = alike_sets(spark.createDataFrame(rows, "id long, w array<string>"))
+    assert got == {k: pytest.approx(v) for k, v in want.items() if v >= 0.8}
+    assert sum(n for f, n in files().items() if f not in before) < 300_000
+
+
+def alike_sets(df):
+    return {(r["a"], r["b"]): r["jaccard"] for r in jaccard_join(df, "id", "w", 0.8).collect()}
+
+
 def test_containing(spark):
     outer = spark.createDataFrame([(1, "so she said hello big world again"), (2, "xhello big worldly"), (3, None), (4, "short")], "k long, t string")
     inner = spark.createDataFrame([(7, "hello big world"), (8, "hor"), (9, ""), (10, None)], "k long, t string")
