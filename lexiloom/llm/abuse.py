@@ -22,11 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.tables import drawn
+from lexiloom.llm.tables import in_order
 from lexiloom.session import materialise
 
-#: Labelled rows that the model is fitted on at most, by hash order of the key.
-TRAINING_ROWS = 20_000
 REVIEW = 0.35
 #: Log-odds that a feature must have to count, how its reach grows with them, and the weight of the prior.
 LEAST_ODDS, POWER, L2 = 1.0, 1.5, 0.4
@@ -249,8 +247,12 @@ class AbuseModel:
         none = np.zeros(0, np.int64)
         self.row, self.col, self.owner = (np.concatenate(row) if row else none, np.concatenate(col) if col else none, np.array(owner, np.int64))
         self.label = np.array([bad for _, bad in rows], bool)
-        sound = [self.counts(x) for x, (_, bad) in zip(ids, rows, strict=True) if not bad]
-        self.sound = sum((c for c, _ in sound), np.zeros(len(self.features), np.int64)), sum(n for _, n in sound)
+        sound, sentences = np.zeros(len(self.features), np.int64), 0
+        for x, (_, bad) in zip(ids, rows, strict=True):
+            if not bad:
+                c, k = self.counts(x)
+                sound, sentences = sound + c, sentences + k
+        self.sound = sound, sentences
         self.fit(np.zeros(len(self.features), np.int64), 0)
 
     def fit(self, counts: np.ndarray, sentences: int, rounds: int = 4) -> None:
@@ -410,15 +412,14 @@ class AbusiveContent:
     repeated rows the worst score counts; sources are taken trimmed and in
     lower case, null and blank ones as null. Empty tables give no rows; other
     columns are not read. ``labelled``: (key, text, label 0/1) to fit the model
-    on, at most TRAINING_ROWS rows; null labels are left out. The texts
+    on, all of them, on the driver; null labels are left out. The texts
     are decoded once; how often each feature stands in them is counted over
     all different texts, whatever their number, before the weights are fitted.
     """
 
     def __init__(self, fields: list[tuple], labelled: DataFrame):
         spark = labelled.sparkSession
-        rows = drawn(labelled.toDF("k", "t", "y").where("y is not null"), "k", TRAINING_ROWS)
-        model = AbuseModel([(r["t"], r["y"] > 0) for r in rows])
+        model = AbuseModel([(r["t"], r["y"] > 0) for r in in_order(labelled.toDF("k", "t", "y").where("y is not null"), "k")])
         self.decoded = materialise(self._decoded(fields, spark.sparkContext.broadcast(model)), "decoded")
         model.fit(*self._counted(spark.sparkContext.broadcast(model), len(model.features)))
         self.model = spark.sparkContext.broadcast(model)

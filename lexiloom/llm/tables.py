@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +17,11 @@ def plain(column: str):
     return F.nullif(F.lower(F.trim(F.regexp_replace(F.col(column), r"^[\s ]+|[\s ]+$", ""))), F.lit(""))
 
 
+def in_order(rows: DataFrame, key: str) -> Iterator[Row]:
+    """All rows in the order of a hash of their key, a partition at a time."""
+    return rows.orderBy(F.pmod(F.xxhash64(F.col(key)), F.lit(2**40)), key).toLocalIterator()
+
+
 def drawn(rows: DataFrame, key: str, n: int) -> list:
     """At most ``n`` rows in the order of a hash of their key; a threshold of the hash keeps all but about three times as many from the driver."""
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(2**40))

@@ -194,3 +194,12 @@ def test_mojibake_in_copies_and_by_a_lone_twin(spark):
     back = {r["id"]: r["text"] for r in m.restored().collect()}
     assert set(back) == {100, 101, 102, 103, 301} | set(range(200, 240)) == {r["id"] for r in m.found().collect()}
     assert back[200] == "Ouvert en février, une région protégée." and back[301] == lone
+
+
+def test_every_labelled_row_is_fitted(spark, monkeypatch):
+    monkeypatch.setattr("lexiloom.llm.abuse.TRAINING_ROWS", 5, raising=False)  # a cap, should there be one
+    words = [f"{a}{b}r" for a in ("bla", "kno", "sti", "fre") for b in ("mme", "ndo", "sta", "lpi", "que")]
+    rows = [(i, f"they call it {words[i // 2]} here.", i % 4 // 2) for i in range(2 * len(words))]
+    texts = spark.createDataFrame([(1, "a text.")], "id long, text string")
+    a = AbusiveContent([("t", "text", texts, "id", "text", None)], spark.createDataFrame(rows, "k long, t string, y int"))
+    assert set(words) <= set(a.model.value.vocabulary)
