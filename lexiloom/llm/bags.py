@@ -89,17 +89,16 @@ def bags(texts: list[str | None], least: int) -> tuple[np.ndarray, np.ndarray, n
             words.extend(found)
     n_ = np.array(n, dtype=np.int64)
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    doc = np.repeat(np.arange(len(n_)), n_)
-    order = np.lexsort((h, doc))
-    h = h[order]
+    doc = np.repeat(np.arange(len(n_), dtype=np.uint64), n_)
+    order = np.argsort(h)
+    h = h[order[np.argsort(doc[order].astype(np.uint16 if len(n_) < 2**16 else np.uint64), kind="stable")]]
     if len(h):
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
         start = np.flatnonzero(fresh)
         nth = np.arange(len(h)) - np.repeat(start, np.diff(np.append(start, len(h))))
         h = mix(h + nth.astype(np.uint64) * _M2)
-    token = (h >> np.uint64(32)).astype(np.uint32)
-    token = token[np.lexsort((token, doc))]
+    token = np.sort(doc << np.uint64(32) | h >> np.uint64(32)).astype(np.uint32)
     return np.array(at, dtype=np.int64), n_, token
 
 
@@ -403,12 +402,28 @@ def _in_blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return rows.select(region.alias("region"), "bag", "head", "tail", "rest")
 
 
-def _candidates(region: np.ndarray, head: np.ndarray, n: np.ndarray, role: np.ndarray | None, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of pairs of one region that fit in length and in the first word of their sketches.
+def _fit(sketch: list[np.ndarray], n: np.ndarray, x: np.ndarray, y: np.ndarray, spread: float, far: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (x, y) those whose lengths and sketches allow the likeness; ``far``: their distances in words before these. Pairs that are too far leave before the next word."""
+    most = np.where((n[x] >= UNKNOWN) | (n[y] >= UNKNOWN), np.inf, spread * (n[x] + n[y]) + 1e-9)
+    far = np.zeros(len(x), np.int64) + far
+    ok = np.maximum(np.abs(n[x] - n[y]), far) <= most
+    for s in sketch:
+        x, y, far, most = x[ok], y[ok], far[ok], most[ok]
+        if not len(x):
+            return x, y
+        far += np.bitwise_count(s[x] ^ s[y])
+        ok = far <= most
+    return x[ok], y[ok]
+
+
+def _candidates(region: np.ndarray, sketch: list[np.ndarray], n: np.ndarray, role: np.ndarray | None, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of one region that fit in length and in their sketches.
 
     Rows are sorted by region and length (with roles: region, role, length).
     Small regions are compared all at once, neighbour by neighbour; in larger
     ones, each strip of rows is compared with those rows that are not too long.
+    One word of a sketch says nothing about texts of a distance of 64 or more,
+    so a strip adds words up until few pairs are left.
     """
     spread = (1 - t) / (1 + t)
     if not len(region):
@@ -430,10 +445,9 @@ def _candidates(region: np.ndarray, head: np.ndarray, n: np.ndarray, role: np.nd
             x, y = i[cross], j[cross]
         else:
             x, y = i, j
-        both = n[x] + n[y]
-        ok = np.bitwise_count(head[x] ^ head[y]) <= spread * both + 1e-9
-        ok |= both >= UNKNOWN
-        yield x[ok], y[ok]
+        yield _fit(sketch, n, x, y, spread)
+    xs, ys, held = [], [], 0
+    room = np.empty(max(STRIP, int(size.max())), np.uint64)
     for g in np.flatnonzero(size >= SMALL):
         lo, hi = int(cut[g]), int(cut[g + 1])
         mid = lo + int(np.searchsorted(role[lo:hi], 2)) if role is not None else lo
@@ -441,26 +455,37 @@ def _candidates(region: np.ndarray, head: np.ndarray, n: np.ndarray, role: np.nd
         last = mid if role is not None else hi
         base = mid if role is not None else lo  # where the partners begin
         lengths = n[base:hi]
-        xs, ys = [], []
         while i0 < last:
             # partners of the strip: not shorter than t times its shortest, not longer than its longest over t
             a = i0 if role is None else base + int(np.searchsorted(lengths, t * n[i0] - 1e-9))
             i1 = min(last, i0 + max(1, STRIP // max(1, hi - a)))
             b = base + int(np.searchsorted(lengths, n[i1 - 1] / t + 1e-9, side="right")) if n[i1 - 1] < UNKNOWN and n[hi - 1] < UNKNOWN else hi
             if b > a:
-                most = spread * (n[i1 - 1] + n[b - 1]) + 1e-9 if n[b - 1] < UNKNOWN else 64
-                near = np.bitwise_count(head[i0:i1, None] ^ head[None, a:b]) <= int(min(most, 64))
-                r, c = np.divmod(np.flatnonzero(near), b - a)
-                r, c = r + i0, c + a
+                most = int(spread * (n[i1 - 1] + n[b - 1]) + 1e-9) if n[b - 1] < UNKNOWN and n[i1 - 1] < UNKNOWN else 64 * len(sketch)
+                far = np.zeros((i1 - i0, b - a), np.uint16 if len(sketch) < 1024 else np.uint32)
+                odd = room[: far.size].reshape(far.shape)
+                for words, s in enumerate(sketch, 1):
+                    np.bitwise_xor(s[i0:i1, None], s[None, a:b], out=odd)
+                    far += np.bitwise_count(odd)
+                    if words < len(sketch) and 24 * words > most and np.count_nonzero(far <= most) * 16 < far.size:
+                        break
+                at = np.flatnonzero(far <= most)
+                r, c = np.divmod(at, b - a)
+                r, c, far = r + i0, c + a, far.ravel()[at]
                 if role is None:
                     later = c > r
-                    r, c = r[later], c[later]
+                    r, c, far = r[later], c[later], far[later]
                 if len(r):
+                    r, c = _fit(sketch[words:], n, r, c, spread, far)
                     xs.append(r)
                     ys.append(c)
+                    held += len(r)
             i0 = i1
-        if xs:
-            yield np.concatenate(xs), np.concatenate(ys)
+            if held > 1_000_000:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, held = [], [], 0
+    if held:
+        yield np.concatenate(xs), np.concatenate(ys)
 
 
 def _meet(rows: DataFrame, parts: int, t: float, roles: bool) -> DataFrame:
@@ -482,37 +507,43 @@ def _meet(rows: DataFrame, parts: int, t: float, roles: bool) -> DataFrame:
             sketch = [head.view(np.uint64)]
             tail = tail.view(np.uint64)
             if w:
-                wide = np.frombuffer(b"".join(rest.take(pa.array(one)).to_pylist()), np.uint8).reshape(len(one), w)
+                found = rest.take(pa.array(one)).cast(pa.binary(int(w)))
+                wide = np.concatenate([np.frombuffer(x.buffers()[1], np.uint8, len(x) * w, x.offset * w) for x in (found.chunks if isinstance(found, pa.ChunkedArray) else [found])]).reshape(len(one), w)
                 pad = np.zeros((len(one), -(-int(w) // 8) * 8), np.uint8)
                 pad[:, :w] = wide
                 sketch += list(np.ascontiguousarray(pad.view(np.uint64).T))
             else:
                 sketch.append(tail >> np.uint64(24))
             flags = (tail & np.uint64(0xFFFFFF)).astype(np.int64)
-            order = np.lexsort((bag, flags, region))
-            region, bag, flags = region[order], bag[order], flags[order]
-            same = np.zeros(len(region), bool)  # copies, delivered by several tasks
-            same[1:] = (region[1:] == region[:-1]) & (bag[1:] == bag[:-1]) & (flags[1:] == flags[:-1])
+            order = np.argsort(mix(mix(bag.view(np.uint64)) ^ region.view(np.uint64)) ^ flags.astype(np.uint64))
+            x, y = order[:-1], order[1:]
+            same = np.zeros(len(order), bool)  # copies, delivered by several tasks
+            same[1:] = (region[x] == region[y]) & (bag[x] == bag[y]) & (flags[x] == flags[y])
             order = order[~same]
-            region, bag, flags = region[~same], bag[~same], flags[~same]
-            n, role, visitor = flags >> 3, flags & 3, (flags & 4) > 0
+            order = order[np.argsort(region[order])]
+            near = np.zeros(len(order), np.uint64)  # the regions, numbered
+            near[1:] = np.cumsum(region[order[1:]] != region[order[:-1]])
+            by = flags[order].astype(np.uint64)
             if roles:  # within a region: by role, then by length
-                by = np.lexsort((n, role, region))
-                order, region, bag, n, role, visitor = order[by], region[by], bag[by], n[by], role[by], visitor[by]
+                by = (by & np.uint64(3)) << np.uint64(22) | by >> np.uint64(2)
+            by = np.argsort(near << np.uint64(24) | by)
+            order, near = order[by], near[by]
+            bag, flags = bag[order], flags[order]
+            n, role, visitor = flags >> 3, flags & 3, (flags & 4) > 0
             sketch = [s[order] for s in sketch]
-            for x, y in _candidates(region, sketch[0], n, role if roles else None, t):
-                far = np.bitwise_count(sketch[0][x] ^ sketch[0][y]).astype(np.int64)
-                for s in sketch[1:]:
-                    far += np.bitwise_count(s[x] ^ s[y])
-                ok = (far <= spread * (n[x] + n[y]) + 1e-9) | (n[x] >= UNKNOWN) | (n[y] >= UNKNOWN)
-                ok &= ~(visitor[x] & visitor[y]) & (bag[x] != bag[y])
+            for x, y in _candidates(near, sketch, n, role if roles else None, t):
+                ok = ~(visitor[x] & visitor[y]) & (bag[x] != bag[y])
                 x, y = x[ok], y[ok]
                 if len(x):
                     a_all.append(np.minimum(bag[x], bag[y]))
                     b_all.append(np.maximum(bag[x], bag[y]))
         if a_all:
-            pairs = np.unique(np.stack([np.concatenate(a_all), np.concatenate(b_all)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            a, b = np.concatenate(a_all), np.concatenate(b_all)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            fresh = np.ones(len(a), bool)
+            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(a[fresh]), pa.array(b[fresh])], names=["a", "b"])
 
     return rows.repartition(parts, "region").mapInArrow(run, "a long, b long").distinct()
 

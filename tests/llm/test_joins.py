@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexiloom.llm import bags
@@ -130,3 +131,26 @@ def test_passes_hold_every_unit_once():
     held = [(tab, c, p.part, p.parts) for p in cut for c, tabs in p.tabs.items() for tab in tabs]
     assert len(held) == len(set(held)) and {x[:2] for x in held} == set(units)
     assert max(sum(units[tab, c] for c, tabs in p.tabs.items() for tab in tabs) / p.parts for p in cut) <= sum(units.values()) / bags.PASSES
+
+
+@pytest.mark.parametrize("words", [2, 5, 12])
+@pytest.mark.parametrize("roles", [True, False])
+def test_candidates_fit_in_their_whole_sketches(roles, words):
+    rnd = np.random.default_rng(words)
+    size = [1, 2, 9, bags.SMALL - 1, bags.SMALL, 150, 400]
+    region = np.repeat(np.arange(len(size)), size)
+    n = rnd.integers(20 * words, 60 * words, len(region))
+    n[rnd.random(len(n)) < 0.02] = bags.UNKNOWN
+    role = rnd.integers(1, 3, len(region))
+    flips = [rnd.integers(0, 2**63, (words, len(region))) for _ in range(4)]  # of a quarter of the bits, in most texts of a sixteenth
+    base = (flips[0] & flips[1] & np.where(rnd.random(len(region)) < 0.7, flips[2] & flips[3], -1)).astype(np.uint64)
+    by = np.lexsort((n, role, region) if roles else (n, region))
+    region, n, role, sketch = region[by], n[by], role[by], list(base[:, by])
+    got = [(int(i), int(j)) for x, y in bags._candidates(region, sketch, n, role if roles else None, 0.75) for i, j in zip(x, y, strict=True)]
+    want = set()
+    for i, j in itertools.combinations(range(len(region)), 2):
+        far = max(abs(int(n[i]) - int(n[j])), sum(int(s[i] ^ s[j]).bit_count() for s in sketch))
+        if region[i] == region[j] and not (roles and role[i] == role[j]) and (far <= (n[i] + n[j]) / 7 + 1e-9 or n[i] == n[j] == bags.UNKNOWN):
+            want.add((i, j))
+    assert len(want) > 100 and len(got) == len(set(got))
+    assert {(i, j) for i, j in got if (n[i] == bags.UNKNOWN) == (n[j] == bags.UNKNOWN)} == want  # the others may come or not
